@@ -155,11 +155,13 @@ def predict(docs: DataFrame, model: CodeModel | None, keep: list[str] | None = N
     ``und`` with score 0.  Every row is predicted from its whole text alone.
     """
     keep = list(docs.columns) if keep is None else keep
+    read = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    at = read.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 512):
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(at).to_pylist()
                 good = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
                 if good:
@@ -168,10 +170,9 @@ def predict(docs: DataFrame, model: CodeModel | None, keep: list[str] | None = N
                         lang[i] = model.languages[b]
                     score[good] = share
                 new = [pa.array(lang, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score", "ambiguous"])
 
-    read = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]]
     return read.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"]))
 
 

@@ -131,8 +131,8 @@ def mix_sources(
 ) -> DataFrame:
     """How often each document is taken so that each source's words meet its target.
 
-    Returns ``id_col``, source, size, source_size, target and taken (size times the
-    number of times the document is taken, at most ``most``).  A source whose target is r
+    Returns ``id_col``, source, size, source_size, target, times (how often the document
+    is taken, at most ``most``) and taken (size times that).  A source whose target is r
     times its words takes every document floor(r) times, and once more those that a
     balanced sample with equal probabilities r - floor(r) holds, so that words and
     documents both come out at the target but for the last one or two documents.
@@ -158,8 +158,9 @@ def mix_sources(
         chosen.join(strata, "s")
         .select(
             F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-            (F.col("size") * (F.col("times") + F.col("p").cast("long"))).alias("taken"),
+            (F.col("times") + F.col("p").cast("int")).alias("times"),
         )
+        .withColumn("taken", F.col("size") * F.col("times"))
     )
 
 
