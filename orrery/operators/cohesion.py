@@ -43,22 +43,24 @@ def transitivity(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, component): the smallest id reachable over (a, b); labels spread to neighbours and then
-    jump to their label's label, so long paths take few rounds."""
+    """(id, component): the smallest id reachable over (a, b).
+
+    Nodes keep a parent.  In a round a node hears its neighbours' smallest grandparent; it and
+    its parent hook on to that where it is smaller, and paths are halved, so rounds grow
+    with the logarithm of a component's size.
+    """
     both = cut(symmetric(edges).toDF("id", "other"))
-    labels = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
+    nodes = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
     for _ in range(rounds):
-        heard = (
-            both.join(labels.select(F.col("id").alias("other"), "component"), "other")
-            .select("id", "component", F.lit(None).cast("long").alias("old"))
-            .unionAll(labels.select("id", "component", F.col("component").alias("old")))
-            .groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        )
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = cut(heard.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "old"))
-        labels = new.select("id", "component")
-        if not new.where("component <> old").limit(1).count():
-            return labels
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        nodes = nodes.join(above, "up").select("id", "up", "top")
+        heard = both.join(nodes.select(F.col("id").alias("other"), "top"), "other").groupBy("id").agg(F.min("top").alias("m"))
+        known = nodes.join(heard, "id").select("id", "up", F.least("top", "m").alias("new"))
+        moved = known.select("id", "new", F.col("up").alias("old")).unionAll(known.select(F.col("up").alias("id"), "new", F.lit(None).cast("long").alias("old")))
+        state = cut(moved.groupBy("id").agg(F.min("new").alias("up"), F.max("old").alias("old")))
+        nodes = state.select("id", "up")
+        if not state.where("up <> old").limit(1).count():
+            return nodes.withColumnRenamed("up", "component")
     raise AssertionError("components did not settle")
 
 
