@@ -155,7 +155,7 @@ def metrics(t):
 
 
 def matrix_sql(source: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS corr FROM {source}" for x in CORRELATED for y in CORRELATED)
+    return " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) + 0::double AS corr FROM {source}" for x in CORRELATED for y in CORRELATED)
 
 
 def ranked_sql(source: str) -> str:
@@ -176,7 +176,7 @@ def spearman_matrix(t):
 RANKS = "& r AS MATERIALIZED (SELECT id, p1, p2, label, rank() OVER (ORDER BY p1) + (count(*) OVER (PARTITION BY p1) - 1) / 2.0::double AS r1, rank() OVER (ORDER BY p2) + (count(*) OVER (PARTITION BY p2) - 1) / 2.0::double AS r2, count(*) OVER () AS n FROM scores) "
 
 
-@query(RANKS + "SELECT round(corr(r1, r2), 8) AS spearman FROM r")
+@query(RANKS + "SELECT round(corr(r1, r2), 8) + 0::double AS spearman FROM r")
 def spearman_pair(t):
     return digits(stats.spearman(t.scores, "p1", "p2"), "spearman")
 

@@ -21,14 +21,14 @@ def vector_pairs(t):
     return e.select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("a"), ((F.col("vec_id") * 7 + 13) % n).alias("__y")).join(y, "__y").drop("__y")
 
 
-@query(VECTOR_PAIRS + """SELECT pair_id, round(dot, 6) AS dot, round(sqrt(greatest(sn * sn + dn * dn - 2 * dot, 0)), 6) AS l2, round(dot / (sn * dn + 1e-10::double), 6) AS cosine, round(sn, 6) AS src_norm, round(dn, 6) AS dst_norm, round(hm, 6) AS had_mean, round(hs, 6) AS had_std, round(ham, 6) AS had_abs_mean, round(hax, 6) AS had_abs_max FROM
+@query(VECTOR_PAIRS + """SELECT pair_id, round(dot, 6) + 0::double AS dot, round(sqrt(greatest(sn * sn + dn * dn - 2 * dot, 0)), 6) AS l2, round(dot / (sn * dn + 1e-10::double), 6) + 0::double AS cosine, round(sn, 6) AS src_norm, round(dn, 6) AS dst_norm, round(hm, 6) + 0::double AS had_mean, round(hs, 6) AS had_std, round(ham, 6) AS had_abs_mean, round(hax, 6) AS had_abs_max FROM
 (SELECT pair_id, sum(x * y) AS dot, sqrt(sum(x * x)) AS sn, sqrt(sum(y * y)) AS dn, avg(x * y) AS hm, stddev_pop(x * y) AS hs, avg(abs(x * y)) AS ham, max(abs(x * y)) AS hax FROM hd GROUP BY pair_id)""")
 def embedding_pair_features(t):
     f = linalg.vector_pair_features(vector_pairs(t)).drop("a", "b")
     return digits(f, *[c for c in f.columns if c != "pair_id"], places=6)
 
 
-@query(VECTOR_PAIRS + "SELECT pair_id, CAST(i AS INT) AS i, round(x * y, 8) AS product FROM hd")
+@query(VECTOR_PAIRS + "SELECT pair_id, CAST(i AS INT) AS i, round(x * y, 8) + 0::double AS product FROM hd")
 def hadamard_long(t):
     return digits(linalg.hadamard_long(vector_pairs(t), "pair_id"), "product")
 
