@@ -11,24 +11,23 @@ from .common import cut
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, component): the smallest id reachable from each end of (a, b).
 
-    Each round gives a node the smallest label among itself and its neighbours and then
-    its label's label, so a path shrinks by a constant factor a round.  Labels of a
-    round are cut to the shared folder; the minimum is summed before its shuffle.
+    Every node keeps a parent.  In a round it hears the smallest grandparent of its
+    neighbours, m; its own and its parent's parent become m if that is smaller, and it
+    skips to its grandparent.  As whole trees hook on at their parents, the rounds grow with
+    the logarithm of a component's size.  Parents of a round are cut to the shared
+    folder, and minima are formed before their shuffle.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     both = cut(both.toDF("id", "other"))
-    labels = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("label")))
+    nodes = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
     for _ in range(rounds):
-        heard = (
-            both.join(labels.select(F.col("id").alias("other"), "label"), "other")
-            .select("id", "label")
-            .union(labels.select("id", "label"))
-            .groupBy("id").agg(F.min("label").alias("label"))
-        )
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = cut(heard.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if not changed:
-            return labels.select("id", F.col("label").alias("component"))
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        nodes = nodes.join(above, "up").select("id", "up", "top")
+        heard = both.join(nodes.select(F.col("id").alias("other"), "top"), "other").groupBy("id").agg(F.min("top").alias("m"))
+        known = nodes.join(heard, "id").select("id", "up", F.least("top", "m").alias("new"))
+        moved = known.select("id", "new", F.col("up").alias("old")).unionAll(known.select(F.col("up").alias("id"), "new", F.lit(None).cast("long").alias("old")))
+        state = cut(moved.groupBy("id").agg(F.min("new").alias("up"), F.max("old").alias("old")))
+        nodes = state.select("id", "up")
+        if not state.where("up <> old").limit(1).count():
+            return nodes.withColumnRenamed("up", "component")
     raise AssertionError("components did not settle")

@@ -161,7 +161,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[int, int]]:
-    """Links that span every connected group of the join of two trees (or one with ``itself``).
+    """Links from every other id of a connected group to its smallest, for the join of two
+    trees (or of one with ``itself``).
 
     Node pairs are taken from a stack in parts of FRONTIER; a pair that can't link is dropped, else
     its children's pairs follow.  Pairs of sets that earlier links connect already are skipped:
@@ -169,7 +170,6 @@ def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[i
     """
     groups = Union(len(a.ids) + (0 if itself else len(b.ids)))
     shift = 0 if itself else len(a.ids)
-    out = []
     top = (len(a.levels) - 1, len(b.levels) - 1)
     stack = [(*top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(a.ids) and len(b.ids) else []
     while stack:
@@ -188,7 +188,6 @@ def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[i
                 u, v = groups.find(i), groups.find(j + shift)
                 if u != v and (a.ids[i] == b.ids[j] or linked(a.sets[i], b.sets[j])):
                     groups.up[max(u, v)] = min(u, v)
-                    out.append((int(a.ids[i]), int(b.ids[j])))
             continue
         if la >= lb:
             x, y = expand(x, y, len(a.levels[la - 1][1]))
@@ -203,7 +202,12 @@ def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[i
             for k in range(len(x) // FRONTIER * FRONTIER, -1, -FRONTIER):
                 if len(x[k : k + FRONTIER]):
                     stack.append((la, lb, x[k : k + FRONTIER], y[k : k + FRONTIER]))
-    return out
+    ids = (a.ids if itself else np.concatenate([a.ids, b.ids])).tolist()
+    root = [groups.find(i) for i in range(len(ids))]
+    first: dict[int, int] = {}
+    for r, i in zip(root, ids):
+        first[r] = min(first.get(r, i), i)
+    return [(i, first[r]) for r, i in zip(root, ids) if i != first[r]]
 
 
 def expand(x: np.ndarray, y: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,8 +267,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal sets are one class, named by its smallest id.  Classes that share a band key form
     families, which are far smaller than the table; each family's sets travel once, to blocks
-    that join them exactly with signature trees.  Only links that connect something new are
-    kept, so groups of thousands of copies give thousands of links, not millions.
+    that join them exactly with signature trees.  A block gives each group it finds as links to the
+    group's smallest id, so thousands of copies give thousands of links, not millions.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(signatures(named))
