@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,35 @@ from .common import cut, documents, gapless_rank, slices
 SEQUENCE = 1024
 SEPARATOR = 2
 #: Encoded words that a worker keeps at most.
-CACHE = 500_000
+CACHE = 200_000
 #: White space that a space doesn't end or begin alone: such texts are encoded whole.
 ODD = re.compile(r"\s (?:\s|\Z)")
 ODD_SPECIAL = "<|"
+#: Fixed: the word splitter of byte-level vocabularies.
+SPLITTER = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary file stands for: printable
+    Latin-1 stands for itself, the other bytes for the characters from 256 on, in order."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in itself]
+    return {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens by rank, if the file is a plain byte-level BPE whose ids are in merge order."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or model.get("type") != "BPE":
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    of, vocabulary = byte_alphabet(), {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [vocabulary.get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(vocabulary) != 256 + len(merged):
+        return None
+    return {bytes(map(of.__getitem__, t)): i for t, i in vocabulary.items()}
 
 
 class Encoder:
@@ -28,17 +57,40 @@ class Encoder:
     non-space, so a text's ids are those of its pieces, cut before each space; the
     ids of pieces seen before are kept.  Texts with white space runs around a space,
     or that may hold a special token's string, are encoded whole.
+
+    New pieces without white space inside are encoded as one text, a line each: a single
+    line end is a word of its own there, so its id tells the pieces apart.
     """
 
     def __init__(self, path: str) -> None:
+        self.path, self.known = path, {}
+        ranks = merge_ranks(path)
+        self.fast = tiktoken.Encoding("pieces", pat_str=SPLITTER, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.line_end = ranks[b"\n"] if ranks else None
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        return Tokenizer.from_file(self.path)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def learn(self, new: list[str]) -> None:
+        if not self.fast:
+            self.known.update(zip(new, self.whole(new)))
+            return
+        plain = [x for x in new if len(x) > 1 and not INNER.search(x, 1) and x[0] not in NO_START]
+        self.known.update((x, array("I", self.fast.encode_ordinary(x)).tobytes()) for x in set(new).difference(plain))
+        for a in range(0, len(plain), 4096):
+            part = plain[a : a + 4096]
+            ids = self.fast.encode_to_numpy("\n".join(part), disallowed_special=())
+            cut = np.flatnonzero(ids == self.line_end)
+            assert len(cut) == len(part) - 1
+            blob, lo, hi = ids.astype("<u4").tobytes(), [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [blob[i:j] for i, j in zip(lo, hi)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -46,17 +98,18 @@ class Encoder:
             known.clear()
         cuts: list[list[str] | None] = []
         for text in texts:
-            if ODD.search(text) or ODD_SPECIAL in text:
-                cuts.append(None)
-                continue
-            first, *rest = text.split(" ")
-            cuts.append([first, *[" " + x for x in rest]])
-        new = list({x for c in cuts if c for x in c}.difference(known))
-        known.update(zip(new, self.whole(new)))
+            whole = "\0" in text or ODD_SPECIAL in text or ODD.search(text)
+            cuts.append(None if whole else text.replace(" ", "\0 ").split("\0"))
+        new = set().union(*[c for c in cuts if c]).difference(known)
+        self.learn(list(new))
         of = known.__getitem__
         return [b"".join(map(of, c)) if c is not None else self.whole([text])[0] for c, text in zip(cuts, texts)]
 
 
+INNER = re.compile(r"\s")
+NO_START = frozenset("\n\r\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def piece_bounds(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, end) of a document's pieces: full ones, after a shorter first."""
     first = n % sequence or min(n, sequence)
