@@ -14,12 +14,12 @@ from .common import U64, WordHasher, documents, fan_out, mix64, slices, window_h
 
 WINDOW = 13
 #: Words of the m-mers among which a window's minimiser is chosen.
-MMER = 4
+MMER = 3
 #: Bytes of text that a map task works on at once, and packed bytes meant for a partition.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 PART_BYTES = 8 << 20
 #: Packed bytes a byte of text: a run of windows shares its words.
-BLOW_UP = 3.2
+BLOW_UP = 3.0
 
 
 def word_ids(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -95,7 +95,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-FOUND = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("doc", pa.binary()), ("key", pa.binary()), ("first", pa.binary()), ("count", pa.binary())])
+FOUND = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("places", pa.binary())])
+
+
+def pack_places(doc: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
+    """Columns of places as bytes; documents by their differences, which compress."""
+    parts = np.diff(doc, prepend=np.int64(0)), key, first.astype(np.int32), count.astype(np.int32)
+    return b"".join(x.tobytes() for x in parts)
+
+
+def unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 24
+    long, short = np.frombuffer(blob, np.int64, 2 * n), np.frombuffer(blob, np.int32, offset=16 * n).astype(np.int64)
+    return np.cumsum(long[:n]), long[n:], short[:n], short[n:]
 
 
 class Splitter:
@@ -103,7 +115,7 @@ class Splitter:
 
     def __init__(self, parts: int, width: int, mmer: int) -> None:
         self.parts, self.width, self.mmer = parts, width, mmer
-        self.hasher, self.zip = WordHasher(), zstandard.ZstdCompressor(level=1)
+        self.hasher, self.zip = WordHasher(), zstandard.ZstdCompressor(level=3)
 
     def __call__(self, rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
         """A row per partition for a block of (id, key, words).
@@ -126,7 +138,7 @@ class Splitter:
         if copy.any():
             t = text[copy]
             own = runs(doc[t], key[t], starts[copy] - begin[t])
-            out.append((int(doc[0] % self.parts), None, *[x.tobytes() for x in own]))
+            out.append((int(doc[0] % self.parts), None, self.zip.compress(pack_places(*own))))
         starts, text = starts[~copy], text[~copy]
         if len(starts):
             hashes = self.hasher.of(distinct)[ids]
@@ -143,7 +155,7 @@ class Splitter:
             for a, b in zip(bounds, bounds[1:]):
                 packed = self.zip.compress(b"\n".join([blob[x:y] for x, y in zip(lo[a:b], hi[a:b])]))
                 own = doc[text[a:b]], key[text[a:b]], first[a:b] - begin[text[a:b]], n[a:b]
-                out.append((int(part[a]), packed, *[x.tobytes() for x in own]))
+                out.append((int(part[a]), packed, self.zip.compress(pack_places(*own))))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), FOUND)] if out else [pa.array([], f.type) for f in FOUND], schema=FOUND)
 
 
@@ -165,18 +177,21 @@ def split(docs: DataFrame, parts: int, width: int = WINDOW, mmer: int = MMER) ->
         if rows:
             yield splitter(rows)
 
-    return docs.mapInArrow(run, "part int, packed binary, doc binary, key binary, first binary, count binary")
+    return docs.mapInArrow(run, "part int, packed binary, places binary")
 
 
 def count_windows(table: pa.Table, width: int = WINDOW) -> pa.Table:
     """The copies among a partition's windows, as runs (id, key, first, count)."""
     unzip = zstandard.ZstdDecompressor()
-    whole = lambda rows, name: np.frombuffer(b"".join(rows[name].to_pylist()), np.int64)
+
+    def places(rows):
+        each = [unpack_places(unzip.decompress(x)) for x in rows["places"].to_pylist()]
+        return [np.concatenate(c) if each else np.zeros(0, np.int64) for c in zip(*each or [[[]] * 4])]
+
     sent = table.filter(table["packed"].is_valid())
-    known = table.filter(table["packed"].is_null())
-    out = [[whole(known, c)] for c in ("doc", "key", "first", "count")]
+    out = [[c] for c in places(table.filter(table["packed"].is_null()))]
     if sent.num_rows:
-        doc, key, first, n = (whole(sent, c) for c in ("doc", "key", "first", "count"))
+        doc, key, first, n = places(sent)
         ids, _ = word_ids(b"\n".join([unzip.decompress(x) for x in sent["packed"].to_pylist()]).split())
         starts, text = starts_of(n + width - 1, width)
         copy = later_copies(ids, starts, doc[text], width)
@@ -207,7 +222,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return count_windows(table, width)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    repeated = ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    key = F.xxhash64(text) if repeated else F.lit(0).cast("long")  # tells rows of one id apart
+    named = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text.alias("text"))
     if parts is None:
         size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(fan_out(docs), int(size * BLOW_UP / PART_BYTES) + 1)
