@@ -140,14 +140,14 @@ def local_moving(w: DataFrame, seed: int, rounds: int = 8, least: float = 1e-4)
     return best
 
 
-def louvain(edges: DataFrame, seed: int = 42, levels: int = 3, refine: bool = False) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 42, levels: int = 3, refine: bool = False, rounds: int = 8) -> DataFrame:
     """(id, community), community named by its smallest node; ``refine`` divides a level's communities
     into their connected parts before they are contracted (Leiden's guarantee)."""
     w = cut(symmetric(edges).withColumn("w", F.lit(1.0)))
     members = w.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id"))
     last = None
     for level in range(levels):
-        moved = local_moving(w, seed + 100 * level)
+        moved = local_moving(w, seed + 100 * level, rounds)
         if refine:
             s, d = (moved.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}")) for c in ("src", "dst"))
             inside = w.where("src < dst").join(s, "src").join(d, "dst").where("c_src = c_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -164,8 +164,8 @@ def louvain(edges: DataFrame, seed: int = 42, levels: int = 3, refine: bool = Fa
     return members.select("id", F.min("id").over(name).alias("community"))
 
 
-def leiden(edges: DataFrame, seed: int = 42, levels: int = 3) -> DataFrame:
-    return louvain(edges, seed, levels, refine=True)
+def leiden(edges: DataFrame, seed: int = 42, levels: int = 3, rounds: int = 8) -> DataFrame:
+    return louvain(edges, seed, levels, refine=True, rounds=rounds)
 
 
 def configuration_null(edges: DataFrame, seed: int = 1) -> DataFrame:
