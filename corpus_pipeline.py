@@ -20,8 +20,8 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or with an ambiguous one go."""
-    found = identify(docs)
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    found = identify(docs, names=("__lang", "__share", "__ambiguous"), held="__held")
+    return found.where((F.col("__lang") != "und") & ~F.col("__ambiguous")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target takes it."""
-    times = mix_sources(docs.where(F.col("doc_id").isNotNull())).where(F.col("times") > 0).select(F.col("doc_id").alias("__id"), "times")
+    times = mix_sources(docs.where(F.col("doc_id").isNotNull())).where(F.col("times") > 0).select(F.col("doc_id").alias("__id"), F.col("times").alias("__times"))
     taken = docs.join(times, F.col("doc_id") == F.col("__id"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,22 @@ STAGES = [
 ]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what stages pass on is written to the shared folder, and read
-    only while the stages run (the last one cuts its lineage)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.  What stages pass on is written to the shared folder and
+    removed once the next stage is written; the last one cuts its own lineage first."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return packed

@@ -12,7 +12,9 @@ from .common import documents, slices
 
 #: Hashed n-gram features, and rows of the training sample in all (at most twice that).
 FEATURES = 4096
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
+#: Features are scaled by this in training, against the constant column.
+SCALE = 8
 #: A decision is ambiguous when the nearest codeword's share is below this.
 AMBIGUOUS = 0.6
 EXHAUSTIVE = 6
@@ -66,18 +68,25 @@ def code_matrix(classes: int, seed: int = 0) -> np.ndarray:
     return best
 
 
+def design(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Training matrix of sparse rows (numbers, values): scaled by SCALE, and a last column of ones."""
+    x = np.zeros((len(rows), FEATURES + 1), np.float32)
+    for line, (at, values) in zip(x, rows):
+        line[at] = values.astype(np.float32) * SCALE
+        line[-1] = 1
+    return x
+
+
 def fit_bits(x: np.ndarray, signs: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regressions, one a column of ``signs``, by accelerated gradient steps."""
-    x1 = np.hstack([x * 8, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros((x1.shape[1], signs.shape[1]), x.dtype)
+    w = np.zeros((x.shape[1], signs.shape[1]), x.dtype)
     ahead, t, step = w, 1.0, 1.0 / (0.25 * 65 / 8 + ridge)
     for _ in range(rounds):
-        margin = np.clip(signs * (x1 @ ahead), -30, 30)
-        slope = x1.T @ (-signs / (1 + np.exp(margin))) / len(x1) + ridge * ahead
+        margin = np.clip(signs * (x @ ahead), -30, 30)
+        slope = x.T @ (-signs / (1 + np.exp(margin))) / len(x) + ridge * ahead
         new = ahead - step * slope.astype(x.dtype)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + ((t - 1) / t2) * (new - w), new, t2
-    w[:-1] *= 8
     return w
 
 
@@ -89,16 +98,18 @@ class CodeModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> CodeModel:
-        """A bit's weight for a language is how often it is right on its training rows,
-        so weights are equal where every bit is learned well."""
+        """Fit on a training matrix (see design).  A bit's weight for a language is how often it is
+        right on its training rows, so weights are equal where every bit is learned well."""
         languages = sorted(set(langs))
         code = code_matrix(len(languages))
         own = np.array([languages.index(k) for k in langs], int)
         if not code.shape[1]:
             return cls(languages, code, np.zeros((FEATURES + 1, 0)), np.zeros(code.shape))
-        weights = fit_bits(x.astype(np.float32), code[own].astype(np.float32)).astype(float)
-        right = ((x @ weights[:-1] + weights[-1]) * code[own]) > 0
+        weights = fit_bits(x, code[own].astype(np.float32))
+        right = ((x @ weights) * code[own]) > 0
         trust = np.array([right[own == c].mean(axis=0) for c in range(len(languages))])
+        weights = weights.astype(float)
+        weights[:-1] *= SCALE
         return cls(languages, code, weights, trust)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,31 +141,37 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> CodeModel | None:
     """Fit on a bounded sample of (doc_id, text, lang); None without labelled rows."""
 
+    names = ["lang", "at", "x"]
+
     def features(batches):
         for batch in batches:
-            langs, packed = [], []
+            out = []
             for part in slices(batch):
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if LETTER.search(text):
-                        langs.append(lang)
-                        packed.append(featurise(text).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "x"])
+                        x = featurise(text)
+                        at = np.flatnonzero(x).astype(np.uint16)
+                        out.append((lang, at.tobytes(), x[at].astype(np.float16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.binary(), pa.binary()))], names=names)
 
-    sample = training_rows(docs, rows).select("text", "lang").mapInArrow(features, "lang string, x binary")
-    got = sorted((r.lang, bytes(r.x)) for r in sample.limit(2 * rows).collect())
+    sample = training_rows(docs, rows).select("text", "lang").mapInArrow(features, "lang string, at binary, x binary")
+    got = sorted((r.lang, bytes(r.at), bytes(r.x)) for r in sample.limit(2 * rows).collect())
     if not got:
         return None
-    x = np.frombuffer(b"".join(b for _, b in got), np.float16).reshape(len(got), FEATURES).astype(np.float32)
-    return CodeModel.fit(x, [lang for lang, _ in got])
+    return CodeModel.fit(design([(np.frombuffer(a, np.uint16), np.frombuffer(x, np.float16)) for _, a, x in got]), [lang for lang, _, _ in got])
+
+
+NAMES = ("lang_pred", "score", "ambiguous")
 
 
-def predict(docs: DataFrame, model: CodeModel | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred, score (0 to 1) and ambiguous.
+def predict(docs: DataFrame, model: CodeModel | None, keep: list[str] | None = None, text_col: str = "text", names: tuple = NAMES) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the language, its share (0 to 1) and whether it is ambiguous,
+    as ``names``; a kept column of such a name gives way.
 
     A null text, one without any letter, and every text where nothing was learned get
     ``und`` with score 0.  Every row is predicted from its whole text alone.
     """
-    keep = list(docs.columns) if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     read = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
     at = read.columns.index(text_col)
 
@@ -170,25 +187,26 @@ def predict(docs: DataFrame, model: CodeModel | None, keep: list[str] | None = N
                         lang[i] = model.languages[b]
                     score[good] = share
                 new = [pa.array(lang, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=[*keep, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=[*keep, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keep)]]
-    return read.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, ambiguous boolean"]))
+    kinds = [f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean"))]
+    return read.mapInArrow(run, ", ".join([*fields, *kinds]))
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS, names: tuple = NAMES, held: str = "held_out") -> DataFrame:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that are not held out, then
-    predict every row; adds held_out, lang_pred, score and ambiguous.
+    predict every row; adds ``held`` and the columns of ``names`` (see predict).
 
     Rows with a null id are never held out nor learned from.
     """
     learn = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    keep = list(docs.columns) if keep is None else keep
-    return predict(docs.withColumn("held_out", held_out()), fit(learn, rows), [*keep, "held_out"])
+    keep = [c for c in (docs.columns if keep is None else keep) if c != held]
+    return predict(docs.withColumn(held, held_out()), fit(learn, rows), [*keep, held], names=names)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,12 @@ def test_pipeline_run_on_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_columns_of_clashing_names(spark):
+    rows = [(i, f"the w{i} of and that one thing", "en", "s", 9, "own", 0.5, True) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, times boolean")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, None)
+        assert out.columns == df.columns, name
+        assert {(r.lang_pred, r.score, r.times) for r in out.collect()} <= {("own", 0.5, True)}
