@@ -22,6 +22,8 @@ BITS, FAN = 2048, 8
 BLOCK_SHINGLES = 1 << 20
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 15
+#: Sets a side of a tile of pairs; pairs from which a tile is counted as one product, and tokens of a part of it.
+TILE, DENSE, PART = 128, 512, 4096
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -59,6 +61,11 @@ def bands(sets: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def identity(sets: np.ndarray) -> tuple[int, int]:
+    """128 bits of a shingle set."""
+    return tuple(int(mix64(sets + U64(k)).sum(dtype=U64).view(np.int64)) for k in (1, 2))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(id, n, h1, h2, keys) of (id, text): set size, 128-bit identity of the set, band keys."""
 
@@ -70,8 +77,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     s = shingles(text or "", hasher)
                     if len(s):
-                        h1, h2 = (int(mix64(s + U64(k)).sum(dtype=U64).view(np.int64)) for k in (1, 2))
-                        rows.append((doc, len(s), h1, h2, bands(s)))
+                        rows.append((doc, len(s), *identity(s), bands(s)))
                     else:
                         rows.append((doc, 0, 0, 0, None))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -82,17 +88,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """(id, tokens) of (id, text): the shingle set as bytes."""
+    """(first, h1, h2, tokens) of (id, text): the shingle set's identity, and itself as bytes."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             for part in slices(batch):
-                ids = [i for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t]
-                sets = [shingles(t, hasher).tobytes() for t in part.column(1).to_pylist() if t]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
+                texts = [(i, shingles(t, hasher)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t]
+                rows = [(i, *identity(s), s.tobytes()) for i, s in texts if len(s)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                columns = zip(*rows) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["first", "h1", "h2", "tokens"])
 
-    return docs.mapInArrow(run, "id long, tokens binary")
+    return docs.mapInArrow(run, "first long, h1 long, h2 long, tokens binary")
 
 
 class SignatureTree:
@@ -150,6 +158,18 @@ class Union:
         return i
 
 
+class Union:
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact test on two sorted sets."""
     if len(a) > len(b):
@@ -160,16 +180,45 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return len(a) > 0 and DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
 
 
-def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[int, int]]:
-    """Links from every other id of a connected group to its smallest, for the join of two
-    trees (or of one with ``itself``).
+def linked_pairs(a: SignatureTree, b: SignatureTree, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact test of the pairs of set x of ``a`` and set y of ``b``; the overlaps of a tile that
+    holds many of them are one matrix product over the tokens that both of its sides hold."""
+    out = np.zeros(len(x), bool)
+    tile = x // TILE * (len(b.ids) // TILE + 1) + y // TILE
+    order = np.argsort(tile, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        if len(at) < DENSE:
+            out[at] = [linked(a.sets[i], b.sets[j]) for i, j in zip(x[at].tolist(), y[at].tolist())]
+            continue
+        (u, i), (v, j) = (np.unique(z[at], return_inverse=True) for z in (x, y))
+        left, right = [a.sets[k] for k in u.tolist()], [b.sets[k] for k in v.tolist()]
+        shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+        common = np.zeros((len(u), len(v)), np.float32)
+        for k in range(0, len(shared), PART):
+            part = shared[k : k + PART]
+            common += incidence(left, part) @ incidence(right, part).T
+        c, total = common[i, j].astype(np.int64), np.array(list(map(len, left)))[i] + np.array(list(map(len, right)))[j]
+        out[at] = (c > 0) & (DENOMINATOR * c >= NUMERATOR * (total - c))
+    return out
+
+
+def incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """0 or 1 for every set and every one of the sorted ``tokens``."""
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    for row, s in zip(out, sets):
+        own = s[np.searchsorted(s, tokens[0]) : np.searchsorted(s, tokens[-1], "right")]
+        at = np.searchsorted(tokens, own)
+        row[at[tokens[at] == own]] = 1
+    return out
+
+
+def tree_links(a: SignatureTree, b: SignatureTree, itself: bool):
+    """Every pair of sets of two trees (or of one with ``itself``) that links, once, as arrays
+    of positions in a and in b.
 
     Node pairs are taken from a stack in parts of FRONTIER; a pair that can't link is dropped, else
-    its children's pairs follow.  Pairs of sets that earlier links connect already are skipped:
-    their link could not change a group.
+    its children's pairs follow.
     """
-    groups = Union(len(a.ids) + (0 if itself else len(b.ids)))
-    shift = 0 if itself else len(a.ids)
     top = (len(a.levels) - 1, len(b.levels) - 1)
     stack = [(*top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(a.ids) and len(b.ids) else []
     while stack:
@@ -177,17 +226,14 @@ def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[i
         if len(x) > FRONTIER:
             stack.append((la, lb, x[FRONTIER:], y[FRONTIER:]))
             x, y = x[:FRONTIER], y[:FRONTIER]
-        if la == 0 and lb == 0:
-            root = np.fromiter(map(groups.find, range(len(groups.up))), np.int64, len(groups.up))
-            keep = root[x] != root[y + shift]
+        if itself and la == 0 and lb == 0:
+            keep = x < y
             x, y = x[keep], y[keep]
         good = possible(a, b, la, lb, x, y)
         x, y = x[good], y[good]
         if la == 0 and lb == 0:
-            for i, j in zip(x.tolist(), y.tolist()):
-                u, v = groups.find(i), groups.find(j + shift)
-                if u != v and (a.ids[i] == b.ids[j] or linked(a.sets[i], b.sets[j])):
-                    groups.up[max(u, v)] = min(u, v)
+            good = linked_pairs(a, b, x, y)
+            yield x[good], y[good]
             continue
         if la >= lb:
             x, y = expand(x, y, len(a.levels[la - 1][1]))
@@ -202,12 +248,35 @@ def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[i
             for k in range(len(x) // FRONTIER * FRONTIER, -1, -FRONTIER):
                 if len(x[k : k + FRONTIER]):
                     stack.append((la, lb, x[k : k + FRONTIER], y[k : k + FRONTIER]))
-    ids = (a.ids if itself else np.concatenate([a.ids, b.ids])).tolist()
-    root = [groups.find(i) for i in range(len(ids))]
-    first: dict[int, int] = {}
-    for r, i in zip(root, ids):
-        first[r] = min(first.get(r, i), i)
-    return [(i, first[r]) for r, i in zip(root, ids) if i != first[r]]
+
+
+def hook(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Connect every i with its j; ``up`` has each position's root before and after."""
+    while len(i):
+        i, j = up[i], up[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+        np.minimum.at(up, np.maximum(i, j), np.minimum(i, j))
+        while (up[up] != up).any():
+            up[:] = up[up]
+
+
+def count_links(a: SignatureTree, b: SignatureTree, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, first, n) of every set of the two trees: the smallest id of its connected group and its number of links."""
+    ids, shift = (a.ids, 0) if itself else (np.concatenate([a.ids, b.ids]), len(a.ids))
+    up, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for i, j in tree_links(a, b, itself):
+        n += np.bincount(i, minlength=len(ids)) + np.bincount(j + shift, minlength=len(ids))
+        hook(up, i, j + shift)
+    first = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first, up, ids)
+    return ids, first[up], n
+
+
+def join_trees(a: SignatureTree, b: SignatureTree, itself: bool) -> list[tuple[int, int]]:
+    """Connected groups of the links between two trees (or in one): every other id with its group's smallest."""
+    ids, first, _ = count_links(a, b, itself)
+    return [(i, f) for i, f in zip(ids.tolist(), first.tolist()) if i != f]
 
 
 def expand(x: np.ndarray, y: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +286,15 @@ def expand(x: np.ndarray, y: np.ndarray, below: int) -> tuple[np.ndarray, np.nda
     return child[child < below], other[child < below]
 
 
-def join_block(side, ids, tokens) -> list[tuple[int, int]]:
-    sets = [np.frombuffer(t, U64) for t in tokens]
+def block_trees(side: np.ndarray, ids: np.ndarray, tokens: list[bytes]) -> tuple[SignatureTree, SignatureTree, bool] | None:
+    """The trees a block joins, and whether they are one; None if only one of its two sides is there."""
+    ids, once = np.unique(ids, return_index=True)
+    side, sets = side[once], [np.frombuffer(tokens[i], U64) for i in once]
     part = lambda s: SignatureTree(ids[side == s], [sets[i] for i in np.flatnonzero(side == s)])
-    if (side == side[0]).all():
-        tree = part(side[0])
-        return join_trees(tree, tree, True) if side[0] == 0 else []
-    return join_trees(part(0), part(1), False)
+    if (side == 0).all():
+        tree = part(0)
+        return tree, tree, True
+    return (part(1), part(2), False) if (side != side[0]).any() else None
 
 
 def candidate_families(classes: DataFrame) -> DataFrame:
@@ -232,13 +303,13 @@ def candidate_families(classes: DataFrame) -> DataFrame:
     first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     edges = keyed.join(first, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     family = components(edges).withColumnRenamed("component", "family")
-    return family.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    return family.join(classes.select("id", "n"), "id")
 
 
 def deal_blocks(families: DataFrame) -> DataFrame:
     """(id, block, side): whole families share blocks of about BLOCK_SHINGLES; a larger family is
-    divided into chunks, and every pair of its chunks is a block with two sides.  A
-    block with one side (0) is joined with itself."""
+    divided into chunks, and every pair of its chunks is a block with two sides (1, 2).  Whole
+    families and single chunks are side 0, joined with itself, so a pair of sets meets in one block only."""
     size = cut(families.groupBy("family").agg(F.sum("n").alias("total")))
     small = size.where(F.col("total") <= BLOCK_SHINGLES).agg(F.sum("total")).first()[0] or 0
     blocks = max(fan_out(families), -(-small // BLOCK_SHINGLES))
@@ -250,58 +321,116 @@ def deal_blocks(families: DataFrame) -> DataFrame:
     large = sized.where(F.col("total") > BLOCK_SHINGLES).withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")))
     pairs = large.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     name = F.concat_ws("-", "family", F.least("c", "d"), F.greatest("c", "d"))
-    return whole.unionByName(pairs.select("id", name.alias("block"), F.when(F.col("c") <= F.col("d"), 0).otherwise(1).alias("side")))
+    side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
+    return whole.unionByName(pairs.select("id", name.alias("block"), side.alias("side")))
 
 
-BLOCK_LINKS = "a long, b long"
+BLOCK_COUNTS, BLOCK_LINKS = "id long, first long, n long", "a long, b long"
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, n_shingles and component_id, the smallest id
-    reachable by links (its own, where there are none).
+def numbered_classes(sets: DataFrame) -> DataFrame:
+    """(id, n, h1, h2, first, keys): the classes of equal sets under numbers of their own, each with its smallest document."""
+    classes = sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    return cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    Words are lower-cased A-Z and cut at ASCII white space; a document's set are its distinct
-    five-word shingles.  Null and empty texts, and those without words, have no shingles and
-    link with nothing.  Rows with a null id take no part and have a null component.  Rows with one
-    id are one document, linked through its id.
 
-    Equal sets are one class, named by its smallest id.  Classes that share a band key form
-    families, which are far smaller than the table; each family's sets travel once, to blocks
-    that join them exactly with signature trees.  A block gives each group it finds as links to the
-    group's smallest id, so thousands of copies give thousands of links, not millions.
-    """
+def in_blocks(named: DataFrame, classes: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on the sets of every block: each candidate family's sets travel once, by class and side."""
+    families = cut(candidate_families(classes))
+    placed = cut(deal_blocks(families).join(classes.select("id", "first", "h1", "h2"), "id"))
+    tokens = token_sets(named.join(placed.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
+    return cut(placed.join(tokens, ["first", "h1", "h2"]).select("block", "side", "id", "tokens").groupBy("block").applyInArrow(run, schema))
+
+
+def trees_of(table) -> tuple[SignatureTree, SignatureTree, bool] | None:
+    return block_trees(table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("tokens").to_pylist())
+
+
+def named_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text) of ``docs``, their signatures, and those of rows that can link."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(signatures(named))
-    sets = signed.where("n > 0 and id is not null")
-    classes = cut(sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    families = cut(candidate_families(classes))
-    placed = cut(deal_blocks(families))
-    wanted = placed.select("id").distinct()
-    tokens = token_sets(named.join(wanted, "id", "left_semi"))
-    held = placed.join(tokens, "id")
+    return named, signed, signed.where("n > 0 and id is not null")
+
+
+def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): every link between two classes of equal sets, once, each class as its class_id in
+    ``count_document_links``.  The rows grow with the square of a group of near copies; where only
+    groups or numbers of links are asked for, ``count_document_links`` has them in a row per document."""
+    named, _, sets = named_sets(docs, id_col, text_col)
+    classes = numbered_classes(sets)
 
     def run(table):
-        columns = table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("tokens").to_pylist()
-        found = join_block(*columns)
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = cut(held.groupBy("block").applyInArrow(run, BLOCK_LINKS))
-    same_id = sets.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", F.col("id").alias("first")), ["n", "h1", "h2"])
-    found = components(links)
-    member = same_id.join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
-    if member.groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").limit(1).count():
-        found = components(links.union(same_id.select("id", "first").distinct()))
-        member = same_id.join(found, "id", "left").select("id", F.coalesce("component", "first").alias("component"))
-    component = member.groupBy("id").agg(F.min("component").alias("component"))
-    out = signed.select("id", "n").join(component, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        trees, found = trees_of(table), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if trees:
+            found += [(trees[0].ids[i], trees[1].ids[j]) for i, j in tree_links(*trees)]
+        return pa.table({k: np.concatenate(v) for k, v in zip("ab", zip(*found))})
+
+    links = in_blocks(named, classes, run, BLOCK_LINKS)
+    for end in "ab":
+        links = links.join(classes.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return links.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+
+
+def count_document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, n_shingles, component_id, the smallest id
+    reachable by links (its own, where there are none), class_id, the smallest id with an equal
+    set, and n_links, the number of other classes that the row's set links with.
+
+    Words are lower-cased A-Z and cut at ASCII white space; a document's set are its distinct
+    five-word shingles.  Null and empty texts, and those without words, have no shingles and
+    link with nothing.  Rows with a null id take no part and have a null component, class and
+    number.  Rows with one id are one document in components, linked through its id; class and number are
+    those of the row's own text.
+
+    Equal sets are one class.  Classes that share a band key form families, which are far
+    smaller than the table; each family's sets travel once, to blocks that join them exactly with
+    signature trees.  Every link is found and counted in one block; a block gives each class its
+    number of links and the smallest class of its group, so the rows grow with the
+    classes, not with the links.
+    """
+    named, signed, sets = named_sets(docs, id_col, text_col)
+    classes = numbered_classes(sets)
+
+    def run(table):
+        trees = trees_of(table)
+        columns = count_links(*trees) if trees else [np.empty(0, np.int64)] * 3
+        linked = columns[2] > 0
+        return pa.table({k: c[linked] for k, c in zip(("id", "first", "n"), columns)})
+
+    counted = in_blocks(named, classes, run, BLOCK_COUNTS)
+    links = counted.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    own = cut(sets.select(F.col("id").alias("doc"), "n", "h1", "h2").distinct().join(classes.drop("keys"), ["n", "h1", "h2"]).select("doc", "id", "first"))
+    shared = own.groupBy("doc").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("doc", "low")
+    links = links.union(own.join(shared, "doc").where("id <> low").select("id", "low"))
+    found = components(links).join(classes.select("id", "first"), "id")
+    name = found.groupBy("component").agg(F.min("first").alias("name"))
+    groups = found.join(name, "component").select("id", "name")
+    component = own.join(groups, "id", "left").groupBy("doc").agg(F.min(F.coalesce("name", "first")).alias("component"))
+    numbers = counted.groupBy("id").agg(F.sum("n").alias("links"))
+    each = classes.join(numbers, "id", "left").select("n", "h1", "h2", F.col("first").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    there = F.col("id").isNotNull()
+    out = signed.select("id", "n", "h1", "h2").join(component.withColumnRenamed("doc", "id"), "id", "left").join(each, ["n", "h1", "h2"], "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(there, F.coalesce("component", "id")).alias("component_id"),
+        F.when(there, F.coalesce("class", "id")).alias("class_id"), F.when(there, F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first three columns of ``count_document_links``."""
+    return count_document_links(docs, id_col, text_col).drop("class_id", "n_links")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(documents(spark, sf_dir))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_jaccard_join with each document's class and number of links, which that query's SQL has not."""
+    return count_document_links(documents(spark, sf_dir))
+
+
 OP1_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

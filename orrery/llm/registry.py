@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .hnsw import op8_nearest
-from .jaccard import OP1_SQL, op1_jaccard_join
+from .jaccard import OP1_SQL, op1_jaccard_join, op1_jaccard_links
 from .langid import op2_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op7_mixing
@@ -26,6 +26,9 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: Queries beside the ten operators'.
+MORE = {"op1_jaccard_links": op1_jaccard_links}
+
 ORACLE_SQL = {
     "op1_jaccard_join": OP1_SQL,
     "op9_line_dedup": OP9_SQL,

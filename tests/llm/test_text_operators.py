@@ -120,6 +120,48 @@ def test_tree_join_equals_all_pairs():
     assert got == {frozenset((i, up.find(i))) for i in range(len(sets)) if up.find(i) != i}
 
 
+def brute_links(texts):
+    sets = [shingle_set(t) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(frozenset(s), i)
+    reps = sorted(first.values())
+    pairs = sorted((i, j) for k, i in enumerate(reps) for j in reps[k + 1 :] if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    number = {i: sum(i in p for p in pairs) for i in reps}
+    return pairs, [(c := first.get(frozenset(s), i), number.get(c, 0)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block, dense", [(1 << 20, 512), (1 << 20, 2), (300, 2)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block, dense):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "PART", 64)
+    r = random.Random(4)
+    texts = corpus(2, 60)
+    for f in range(2):
+        for _ in range(40):
+            words = [f"w{f}x{i}" for i in range(60)]
+            for _ in range(r.randint(0, 3)):
+                words[r.randrange(60)] = f"n{r.random()}"
+            texts.append(" ".join(words))
+    pairs, want = brute_links(texts)
+    got = sorted(tuple(x) for x in jaccard.count_document_links(docs(spark, texts)).collect())
+    assert [x[3:] for x in got] == want and [x[:3] for x in got] == sorted(brute_components(texts))
+    assert max(n for _, n in want) > 3 and sum(n for _, n in want) > 2 * len(texts)
+    assert sorted(tuple(x) for x in jaccard.class_links(docs(spark, texts)).collect()) == pairs
+
+
+def test_jaccard_links_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, a + " c"), (5, b), (5, ""), (3, b), (None, a), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.count_document_links(df).collect()), key=str)
+    want = [(5, 26, 3, 5, 1), (5, 27, 3, 5, 1), (5, 26, 3, 3, 0), (5, 0, 3, 5, 0), (3, 26, 3, 3, 0), (None, 26, None, None, None), (8, 0, 8, 8, 0)]
+    assert got == sorted(want, key=str)
+    assert jaccard.class_links(df).collect() == [(5, 5)] and jaccard.class_links(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(70)]
