@@ -22,9 +22,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: Candidates beyond the base formats: an address with words for its signs, groups of
 #: digits with other separators, and colon-separated hexadecimal groups.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s(?:at|AT)\s)[A-Za-z0-9-]+(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{2,})+")
-SPELLED_SIGNS = tuple(x for w in ("at", "AT", "dot", "DOT") for x in (f" {w} ]", f" {w} )", f"{w}]", f"{w})", f"{w}}}")) + (" dot ", " DOT ")
-GROUPS = re.compile(r"[(0-9][0-9() ./-]{6,30}[0-9]")
+#: Where a spelled "@" may stand: every match of SPELLED has one after its first run of LOCAL characters.
+SIGN = re.compile(r"(?=[\[({]\s?(?:at|AT)\s?[\])}]|\s[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s)")
+#: A run of digit groups; every stretch of its groups is looked at.
+GROUPS = re.compile(r"[(0-9][0-9() ./-]*[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 HEX_GROUPS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}")
+#: Addresses with a "::", and what would make it part of a word or of a longer run.
+HEX_SHORT = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
+BEFORE, AFTER = re.compile(r"([0-9]+)[() ./-]{1,3}\Z"), re.compile(r"[() ./-]{1,3}([0-9]+)")
 #: Characters of context before a candidate.
 CONTEXT = 32
 PRECISION = 0.995
@@ -71,19 +77,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """All that SPELLED finds, looked for only before a sign."""
+    out, end = [], 0
+    for sign in SIGN.finditer(text):
+        start = sign.start()
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < sign.start() and (m := SPELLED.match(text, start)):
+            end = m.end()
+            out.append((start, end))
+    return out
+
+
+def stretches(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of every stretch of 9 to 19 digits in consecutive groups of a run; one after
+    a "(" also with it."""
+    out = []
+    for run in GROUPS.finditer(text):
+        if run.end() - run.start() < 9:
+            continue
+        groups = [m.span() for m in DIGITS.finditer(text, run.start(), run.end())]
+        for i, (a, _) in enumerate(groups):
+            n = 0
+            for x, y in groups[i:]:
+                n += y - x
+                if n > 19:
+                    break
+                if n >= 9:
+                    out.append((a, y, n))
+                    if a > run.start() and text[a - 1] == "(":
+                        out.append((a - 1, y, n))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that may be personal data, of every kind whose look they have; they overlap."""
     out = []
-    if any(x in text for x in SPELLED_SIGNS):
-        out += [(m.start(), m.end(), "email") for m in SPELLED.finditer(text)]
-    for m in GROUPS.finditer(text):
-        digits = sum(map(str.isdigit, m.group()))
-        if 9 <= digits <= 15:
-            out.append((m.start(), m.end(), "phone"))
-        if 13 <= digits <= 19:
-            out.append((m.start(), m.end(), "card"))
+    if "at" in text or "AT" in text:
+        out += [(a, b, "email") for a, b in spelled(text)]
+    for a, b, n in stretches(text):
+        if n <= 15:
+            out.append((a, b, "phone"))
+        if n >= 13:
+            out.append((a, b, "card"))
     if ":" in text:
         out += [(m.start(), m.end(), "ip") for m in HEX_GROUPS.finditer(text)]
+    if "::" in text:
+        out += [(m.start(), m.end(), "ip") for m in HEX_SHORT.finditer(text) if 1 <= len(m.group().replace("::", ":").strip(":").split(":")) <= 7 and len(m.group()) > 2]
     return out
 
 
@@ -96,6 +137,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     words = re.findall(r"[a-z.]+", before)
     prior, after = text[start - 1 : start], text[end : end + 1]
     hexes = re.findall(r"[0-9A-Fa-f]+", span)
+    left, right = BEFORE.search(text[max(0, start - CONTEXT) : start]), AFTER.match(text, end)
     return [
         len(span), len(digits), len(groups), max(groups), min(groups), groups[-1],
         span.count(" "), span.count("-"), span.count("."), span.count("/"), span.count("(") + span.count(")"),
@@ -105,6 +147,9 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(prior.isalnum() or prior in ".-+/:=#"), float(after.isalnum() or after in "-/:"),
         float(any(w.startswith(HINTS[kind]) for w in words)), float(any(w.startswith(AGAINST) for w in words)),
         float(digits != "" and len(set(digits)) <= 2),
+        len(left.group(1)) if left else 0, len(right.group(1)) if right else 0, int(digits[:1] or 0),
+        len(groups) > 2 and groups[-3:] == [3, 3, 4], len(groups) == 4 and groups == [4, 4, 4, 4], span.count("(") - span.count(")"),
+        span.count("::"), len(hexes), max(map(len, hexes), default=0), sum(map(len, hexes)),
     ]
 
 
@@ -133,6 +178,54 @@ def examples(seed: int = 7, each: int = 700) -> list[tuple[str, int, int, str, i
         y = f"{pick(['19', '20'])}{digits(2)}"
         return pick([f"{y}-{digits(2)}-{digits(2)} {digits(2)}.{digits(2)}", f"{y}-{y} {digits(3)}", digits(int(r.integers(9, 16))), f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(2)}/{digits(2)}/{y} - {digits(2)}/{digits(2)}/{y}", f"{digits(5)}-{digits(5)}", f"{y}.{digits(4)}.{digits(5)}", f"{digits(4)} {digits(4)} {digits(4)}", f"{digits(1)} {digits(2)} {digits(3)} {digits(4)} {digits(2)}"])
 
+    def phone_among() -> tuple[str, str, str]:
+        """A number beside years, other figures or numbers."""
+        y = f"{pick(['19', '20'])}{digits(2)}"
+        before = pick(["", f"{y} ", f"{digits(2)} ", f"{digits(1)} ", f"{y}-{digits(2)}-{digits(2)} ", f"{national()} ", f"{national()} / "])
+        return before, national(), pick(["", f" {y}", f" {digits(2)}", f" {national()}", f" / {national()}"])
+
+    def stretch_of(whole: str, low: int, high: int) -> tuple[str, str, str]:
+        """A proper stretch of the groups of ``whole``, of ``low`` to ``high`` digits; all of it where there is none."""
+        found = [(a, b) for a, b, n in stretches(whole) if low <= n <= high and b - a < len(whole)]
+        a, b = pick(found) if found else (0, len(whole))
+        return whole[:a], whole[a:b], whole[b:]
+
+    def no_phone_among() -> tuple[str, str, str]:
+        """A stretch of a row of figures, or one that cuts or joins numbers."""
+        rows = [pick([" ", "  ", ".", "/", "-"]).join(digits(int(r.integers(1, 7))) for _ in range(int(r.integers(4, 8)))), no_phone() + " " + digits(int(r.integers(2, 6)))]
+        y = f"{pick(['19', '20'])}{digits(2)}"
+        cut = f"{national()} {pick(['', '/ '])}{national()}"
+        real = [x for x in stretches(cut) if (x[0] == 0 or cut[x[0] - 1] in "-.)" or x[1] < len(cut) and cut[x[1]] in "-.") and x[2] <= 15]
+        if real and r.random() < 0.4:
+            a, b, _ = pick(real)
+            if not (a == 0 and b < len(cut) and cut[b] == " "):
+                return cut[:a], cut[a:b], cut[b:]
+        return ("", f"{pick([y, digits(2)])} {national()}", "") if r.random() < 0.3 else stretch_of(pick(rows), 9, 15)
+
+    def card_among() -> tuple[str, str, str]:
+        span = grouped(card(16, True), [4, 4, 4, 4], pick([" ", "-", ".", "/"]))
+        return pick(["", "", f"{digits(2)} ", f"{digits(4)}  "]), span, pick(["", f" {digits(2)}/{digits(2)}", f" {digits(3)}"])
+
+    def no_card_among() -> tuple[str, str, str]:
+        return stretch_of(pick([" ", ".", "/", "-"]).join(digits(int(r.integers(2, 6))) for _ in range(int(r.integers(5, 9)))), 13, 19)
+
+    def mostly(one, other):
+        return lambda: other() if r.random() < 0.4 else one()
+
+    def address() -> str:
+        form = pick(["{:04x}", "{:x}", "{:X}"])
+        return ":".join(form.format(int(r.integers(0, 65536))) for _ in range(8))
+
+    def short_address() -> str:
+        parts = address().split(":")
+        a = int(r.integers(1, 5))
+        b = int(r.integers(max(a + 2, 4), 9))
+        return ":".join([pick(["2001", "fe80", "fd00", "2a02", parts[0]]), *parts[1:a]]) + "::" + ":".join(parts[b:])
+
+    def no_short_address() -> str:
+        some = lambda: pick([digits(1), digits(2), pick("abcdef"), pick(["add", "bad", "cafe", "face", "dead", "fed"])])
+        return pick([f"{some()}::{some()}", f"{some()}::", f"::{some()}", f"{some()}:{some()}::{some()}"])
+
     def yes_email() -> str:
         a, d = pick(["(at)", "[at]", " [at] ", " (at) ", " at ", "{at}"]), pick(["(dot)", "[dot]", " [dot] ", " dot ", " (dot) "])
         return f"{word()}.{word()}{a}{word()}{d if a == ' at ' or r.random() < 0.7 else '.'}{pick(['com', 'org', 'net', 'example', 'de', 'fr'])}"
@@ -144,16 +237,17 @@ def examples(seed: int = 7, each: int = 700) -> list[tuple[str, int, int, str, i
         return ":".join(f"{int(r.integers(0, 65536)):04x}" for _ in range(n))
 
     make = {
-        "phone": (national, no_phone),
-        "card": (lambda: grouped(card(16, True), [4, 4, 4, 4], pick([".", "/", " - "])), lambda: pick([grouped(card(16, False), [4, 4, 4, 4], pick([".", "/", " ", "-"])), card(16, False), card(14, False), no_phone(), grouped(digits(15), [3, 3, 3, 3, 3], pick([" ", "."]))])),
+        "phone": (mostly(national, phone_among), mostly(no_phone, no_phone_among)),
+        "card": (mostly(lambda: grouped(card(16, True), [4, 4, 4, 4], pick([".", "/", " - "])), card_among), mostly(lambda: pick([grouped(card(16, False), [4, 4, 4, 4], pick([".", "/", " ", "-"])), card(16, False), card(14, False), no_phone(), grouped(digits(15), [3, 3, 3, 3, 3], pick([" ", "."]))]), no_card_among)),
         "email": (yes_email, no_email),
-        "ip": (lambda: hexed(8), lambda: pick([":".join(digits(2) for _ in range(int(r.integers(5, 8)))), hexed(5), hexed(6), ":".join(f"{int(r.integers(0, 256)):02x}" for _ in range(6))])),
+        "ip": (mostly(address, short_address), mostly(lambda: pick([":".join(digits(2) for _ in range(int(r.integers(5, 8)))), hexed(5), hexed(6), ":".join(f"{int(r.integers(0, 256)):02x}" for _ in range(6))]), no_short_address)),
     }
     rows = []
     for kind, both in make.items():
         for i in range(2 * each):
             good = i % 2 == 0
-            span = both[not good]()
+            made = both[not good]()
+            ahead, span, behind = ("", made, "") if isinstance(made, str) else made
             lead = [word() for _ in range(int(r.integers(1, 5)))]
             if r.random() < (0.35 if good else 0.05):
                 lead.append(pick(HINTS[kind]) + pick(["", ":"]))
@@ -162,7 +256,8 @@ def examples(seed: int = 7, each: int = 700) -> list[tuple[str, int, int, str, i
             head = " ".join(lead) + pick([" ", ": "])
             if not good and r.random() < 0.1:
                 head += pick(["#", "-", "a"])
-            rows.append((f"{head}{span} {word()} {word()}.", len(head), len(head) + len(span), kind, int(good)))
+            head += ahead
+            rows.append((f"{head}{span}{behind} {word()} {word()}.", len(head), len(head) + len(span), kind, int(good)))
     return rows
 
 

@@ -350,6 +350,34 @@ def test_detection_adds_and_redacts(spark):
     assert pii.detect(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text, kind, wanted", [
+    ("phones 555-123-4567 555-987-6543", "phone", ["555-123-4567", "555-987-6543"]),
+    ("(212) 555-1234 / (212) 555-9876 x", "phone", ["(212) 555-1234", "(212) 555-9876"]),
+    ("in 2024 212-555-1234 rang", "phone", ["212-555-1234"]),
+    ("12 (212) 555-1234", "phone", ["(212) 555-1234"]),
+    ("paid 4396.1777.9341.8310 12/27", "card", ["4396.1777.9341.8310"]),
+    ("host 2001:db8::ff00:42:8329 and fe80::1ff:fe23:4567:890a up", "ip", ["2001:db8::ff00:42:8329", "fe80::1ff:fe23:4567:890a"]),
+    ("jo.doe at example dot org, AL{at}b.com, x at at b.com, c { at } d.org", "email", ["jo.doe at example dot org", "AL{at}b.com", "at at b.com", "c { at } d.org"]),
+])
+def test_every_span_is_a_candidate(text, kind, wanted):
+    got = {text[a:b] for a, b, k in pii.candidates(text) if k == kind}
+    assert got >= set(wanted)
+
+
+def test_spelled_finds_what_its_pattern_finds():
+    r = random.Random(2)
+    parts = ["at", "AT", "dot", " ", " at ", "[at]", "(", ")", "{ at }", ".", "com", "ab", "-", "\n"]
+    for _ in range(20000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert pii.spelled(text) == [m.span() for m in pii.SPELLED.finditer(text)], repr(text)
+
+
+def test_numbers_beside_others_are_told(spark):
+    texts = ["phones 555-123-4567 555-987-6543 here", "call (212) 555-1234 / (212) 555-9876 now", "in 2024 212-555-1234 rang", "see 12 (212) 555-1234 there", "host 2001:db8::ff00:42:8329 up", "std::vector and a::b at 10::30"]
+    got = [r.redacted for r in pii.detect(docs(spark, texts), redact=True).orderBy("doc_id").collect()]
+    assert got == ["phones <phone> <phone> here", "call <phone> / <phone> now", "in 2024 <phone> rang", "see 12 <phone> there", "host <ip> up", texts[5]]
+
+
 def test_models_are_calibrated():
     rows = pii.examples(seed=99, each=150)
     for kind, (trees, limit) in pii.models().items():
