@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import row_numbers
-from ..session import cut
+from ..session import cut, cut_fresh
 from .cohesion import components
 from .graph import degrees, symmetric
 
@@ -109,17 +111,18 @@ def weighted_modularity(w: DataFrame, labels: DataFrame) -> float:
     return row["i"] / row["m2"] - row["v2"] / row["m2"] ** 2 if row["m2"] else 0.0
 
 
-def local_moving(w: DataFrame, seed: int, rounds: int = 8, least: float = 1e-4) -> DataFrame:
+def local_moving(w: DataFrame, seed: int, rounds: int | None = None, least: float = 1e-4) -> DataFrame:
     """(id, community): nodes move to the neighbouring community of the largest modularity gain.
 
     All nodes decide at once, so only a hashed half of them moves in a round, and the labels of
-    a round are kept only while modularity rises.
+    a round are kept only while modularity rises.  Without ``rounds`` it ends where two rounds on end
+    raise it by less than ``least``.
     """
     strength = cut(w.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     m2 = strength.agg(F.sum("k")).first()[0] or 1.0
     labels = strength.select("id", F.col("id").alias("community"))
     best, best_q, stalled = labels, weighted_modularity(w, labels), 0
-    for r in range(rounds):
+    for r in count() if rounds is None else range(rounds):
         named = strength.join(labels, "id")
         tot = named.groupBy("community").agg(F.sum("k").alias("tot"))
         to = w.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("kin"))
@@ -130,7 +133,7 @@ def local_moving(w: DataFrame, seed: int, rounds: int = 8, least: float = 1e-4)
         gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)) / m2
         choice = option.withColumn("gain", F.round(gain, 9)).groupBy("id", "own").agg(F.max_by("community", F.struct("gain", home.cast("int"), -F.col("community"))).alias("new"))
         active = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(2)) == 0
-        labels = cut(choice.select("id", F.when(active, F.col("new")).otherwise(F.col("own")).alias("community")))
+        labels = cut_fresh(choice.select("id", F.when(active, F.col("new")).otherwise(F.col("own")).alias("community")))
         q = weighted_modularity(w, labels)
         stalled = 0 if q > best_q + least else stalled + 1
         if q > best_q:
@@ -140,31 +143,32 @@ def local_moving(w: DataFrame, seed: int, rounds: int = 8, least: float = 1e-4)
     return best
 
 
-def louvain(edges: DataFrame, seed: int = 42, levels: int = 3, refine: bool = False, rounds: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine: bool = False, rounds: int | None = None) -> DataFrame:
     """(id, community), community named by its smallest node; ``refine`` divides a level's communities
-    into their connected parts before they are contracted (Leiden's guarantee)."""
+    into their connected parts before they are contracted (Leiden's guarantee).  Without ``levels`` it
+    ends where a level merges nothing."""
     w = cut(symmetric(edges).withColumn("w", F.lit(1.0)))
     members = w.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id"))
     last = None
-    for level in range(levels):
+    for level in count() if levels is None else range(levels):
         moved = local_moving(w, seed + 100 * level, rounds)
         if refine:
             s, d = (moved.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}")) for c in ("src", "dst"))
             inside = w.where("src < dst").join(s, "src").join(d, "dst").where("c_src = c_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
             part = components(inside)
             moved = moved.select("id").join(part, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
-        members = cut(members.join(moved.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")))
+        members = cut_fresh(members.join(moved.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")))
         n = members.select("node").distinct().count()
         if n == last:
             break
         last = n
         s, d = (moved.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}")) for c in ("src", "dst"))
-        w = cut(w.join(s, "src").join(d, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
+        w = cut_fresh(w.join(s, "src").join(d, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
     name = Window.partitionBy("node")
     return members.select("id", F.min("id").over(name).alias("community"))
 
 
-def leiden(edges: DataFrame, seed: int = 42, levels: int = 3, rounds: int = 8) -> DataFrame:
+def leiden(edges: DataFrame, seed: int = 42, levels: int | None = None, rounds: int | None = None) -> DataFrame:
     return louvain(edges, seed, levels, refine=True, rounds=rounds)
 
 

@@ -12,8 +12,6 @@ from .basics import CLUSTERING, DEGREES, digits, und_degree
 from .links import LABELS, REACH, brands
 from .registry import query
 
-#: Levels and rounds of the detection queries; the operators' defaults are larger.
-DETECT = {"levels": 2, "rounds": 4}
 PAGERANK_ROUNDS, HITS_ROUNDS, PPR_ROUNDS, ALPHA, TOP_PAIRS = 20, 10, 20, 0.85, 10
 
 
@@ -209,24 +207,27 @@ def powerlaw_vs_lognormal(t):
 
 @query()
 def louvain(t):
-    return community.louvain(t.e_sparse, **DETECT)
+    return community.louvain(t.e_und)
 
 
 @query()
 def leiden(t):
-    return community.leiden(t.e_sparse, **DETECT)
+    return community.leiden(t.e_sparse)
 
 
 @query()
 def louvain_stability(t):
-    q = [community.modularity(t.e_sparse, community.louvain(t.e_sparse, seed, **DETECT)).first()[0] for seed in (42, 43, 44)]
+    edges = cut(t.e_und)
+    q = [community.modularity(edges, community.louvain(edges, seed)).first()[0] for seed in (42, 43, 44)]
     rows = t.spark.createDataFrame([(i, x) for i, x in enumerate(q)], "run int, q double")
     return rows.agg(F.min("q").alias("lowest"), F.max("q").alias("highest"), F.stddev_pop("q").alias("std_q"))
 
 
 @query()
 def config_null_q(t):
-    real = community.modularity(t.e_sparse, community.louvain(t.e_sparse, **DETECT)).first()[0]
-    null = cut(community.configuration_null(t.e_sparse))
-    q = community.modularity(null, community.louvain(null, **DETECT)).first()[0]
+    """Modularity, its mean over three null graphs, and their ratio."""
+    found = lambda edges: community.modularity(edges, community.louvain(edges)).first()[0]
+    edges = cut(t.e_und)
+    real, nulls = found(edges), [found(cut(community.configuration_null(edges, seed))) for seed in (1, 2, 3)]
+    q = sum(nulls) / 3 if None not in nulls else None
     return t.spark.createDataFrame([(real, q, real / q if q else None)], "q double, null_q double, ratio double")

@@ -30,3 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def cut_fresh(df: DataFrame) -> DataFrame:
+    """``cut`` without the size estimate, which a checkpoint hands on: a loop's joins multiply it, so its
+    digits double in a round and planning takes longer than the work."""
+    spark, done = df.sparkSession, cut(df)
+    frame = done._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)

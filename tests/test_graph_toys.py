@@ -1,6 +1,7 @@
 """Formulas on graphs small enough to check by hand."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import ordering, stats
 from orrery.operators import blend, cohesion, community, graph, linalg, ml, pairs, powerlaw, sampling, walks
+from orrery.plans import networks
 
 TRIANGLE = [(1, 2), (2, 3), (1, 3)]
 PATH7 = [(i, i + 1) for i in range(1, 7)]
@@ -202,3 +204,18 @@ def test_empty_graph(spark):
     e = directed(spark, [])
     assert walks.pagerank(e).count() == 0
     assert cohesion.components(und(spark, [])).count() == 0
+
+
+def test_registered_detection_runs_until_it_stalls(spark, monkeypatch):
+    cliques = [(5 * c + i, 5 * c + j) for c in range(40) for i in range(5) for j in range(i)]
+    edges = und(spark, [*cliques, *((5 * c, (5 * c + 9) % 200) for c in range(40))]).localCheckpoint()
+    t = SimpleNamespace(spark=spark, e_und=edges, e_sparse=edges.limit(3))
+    own = spark.createDataFrame([(i, i // 5) for i in range(200)], "id long, community long")
+    best = community.modularity(edges, own).first()[0]
+    labels = networks.louvain(t).localCheckpoint()
+    assert labels.count() == 200 and community.modularity(edges, labels).first()[0] >= 0.9 > best
+    seen, null = [], community.configuration_null
+    monkeypatch.setattr(community, "louvain", lambda edges, *a: own)
+    monkeypatch.setattr(community, "configuration_null", lambda edges, seed=1: (seen.append(seed), null(edges, seed))[1])
+    row = networks.config_null_q(t).first()
+    assert seen == [1, 2, 3] and row.q == best and abs(row.ratio - row.q / row.null_q) < 1e-12
