@@ -96,6 +96,18 @@ def ppr_topn_predict(t):
     return top_n_cut(cut(ppr_pair_score(t)), "score", "pair_id", TOP_PAIRS, "predicted").select("pair_id", "predicted")
 
 
+@query()
+def ppr_all_pair_scores(t):
+    """All candidate pairs; the three queries above, as their SQL, take two parts of each brand."""
+    scored = walks.blocked_pair_scores(t.pairs, cut(graph.symmetric(t.e_sparse)), ALPHA, PPR_ROUNDS)
+    return digits(scored.select("pair_id", "u", "v", "score"), "score", places=9)
+
+
+@query()
+def ppr_all_topn_predict(t):
+    return top_n_cut(cut(ppr_all_pair_scores(t)), "score", "pair_id", TOP_PAIRS, "predicted").select("pair_id", "predicted")
+
+
 QUALITY = LABELS + """ce AS MATERIALIZED (SELECT x.community AS ca, y.community AS cb FROM e_und e JOIN lab x ON x.id = e.a JOIN lab y ON y.id = e.b),
 vol AS MATERIALIZED (SELECT community, CAST(sum(same) / 2 AS BIGINT) AS internal, count(*) AS vol FROM (SELECT unnest([ca, cb]) AS community, CAST(ca = cb AS INT) AS same FROM ce) GROUP BY community), m AS (SELECT sum(vol) / 2.0::double AS m FROM vol) """
 

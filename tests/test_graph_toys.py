@@ -219,3 +219,21 @@ def test_registered_detection_runs_until_it_stalls(spark, monkeypatch):
     monkeypatch.setattr(community, "configuration_null", lambda edges, seed=1: (seen.append(seed), null(edges, seed))[1])
     row = networks.config_null_q(t).first()
     assert seen == [1, 2, 3] and row.q == best and abs(row.ratio - row.q / row.null_q) < 1e-12
+
+
+def test_every_candidate_pair_is_scored(spark):
+    edges = [*PATH7, (1, 4), (2, 6), (10, 11)]
+    t = SimpleNamespace(spark=spark, e_sparse=und(spark, edges), pairs=pair_frame(spark, [(u, v) for u in range(1, 13) for v in (3, 6, 11, 99)]))
+    p = np.zeros((12, 12))
+    for a, b in edges:
+        p[a, b] = p[b, a] = 1
+    p = p / np.maximum(p.sum(axis=1, keepdims=True), 1)
+    there = p.sum(axis=1) > 0
+    state = np.diag(there.astype(float))
+    for _ in range(networks.PPR_ROUNDS):
+        state = networks.ALPHA * state @ p + (1 - networks.ALPHA) * np.diag(there.astype(float))
+    mean = lambda u, v: (state[u, v] + state[v, u]) / 2 if max(u, v) < 12 else 0.0
+    for scored in (networks.ppr_all_pair_scores(t), walks.blocked_pair_scores(t.pairs, graph.symmetric(t.e_sparse), block=3)):
+        rows = scored.collect()
+        assert len(rows) == 48 and all(abs(r.score - mean(r.u, r.v)) < 1e-8 for r in rows)
+    assert networks.ppr_all_topn_predict(t).where("predicted = 1").count() == networks.TOP_PAIRS
