@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import shared_folder
+from orrery.llm.common import cut, shared_folder
 from orrery.llm.jaccard import link_documents
 from orrery.llm.langid import identify
 from orrery.llm.line_dedup import dedup_lines
@@ -29,19 +29,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, __key; written to the shared folder, so it stays the same."""
+    return cut(docs.withColumn("__key", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of linked ones, once; rows without an id stay."""
-    first = link_documents(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__first")).distinct()
-    row = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    once = named.withColumn("__row", F.row_number().over(row)).where(F.col("__row") == 1)
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The smallest row of each group of linked ones, by doc_id (null last), then text; rows
+    that share an id or have none are rows of their own."""
+    rows = keyed(docs)
+    group = link_documents(rows, "__key").select(F.col("__key"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text"), F.col("__key"))
+    ranked = rows.select("__key", order.alias("__order"))
+    first = ranked.join(group, "__key").groupBy("__group").agg(F.min_by("__key", "__order").alias("__key")).select("__key")
+    return rows.join(first, "__key", "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target takes it."""
-    times = mix_sources(docs.where(F.col("doc_id").isNotNull())).where(F.col("times") > 0).select(F.col("doc_id").alias("__id"), F.col("times").alias("__times"))
-    taken = docs.join(times, F.col("doc_id") == F.col("__id"))
+    """Each row as many times as its source's target takes it, also those that share an id or have none."""
+    rows = keyed(docs)
+    times = mix_sources(rows, id_col="__key").where(F.col("times") > 0).select("__key", F.col("times").alias("__times"))
+    taken = rows.join(times, "__key")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

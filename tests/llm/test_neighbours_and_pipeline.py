@@ -82,3 +82,15 @@ def test_pipeline_keeps_columns_of_clashing_names(spark):
         out = stage(spark, df, None)
         assert out.columns == df.columns, name
         assert {(r.lang_pred, r.score, r.times) for r in out.collect()} <= {("own", 0.5, True)}
+
+
+def test_pipeline_keeps_rows_without_an_id_and_with_a_shared_one(spark):
+    text = lambda i: " ".join(f"the w{i}x{k} of and" for k in range(20))
+    ids = [None, None, None, 7, 7, 7, 8, 9]
+    texts = [text(0), text(1), text(2), text(3), text(4), text(3), text(0), text(5)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.near_duplicates(spark, df, None).localCheckpoint()
+    got = sorted(((r.doc_id, r.text) for r in once.collect()), key=str)
+    assert got == sorted([(8, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5))], key=str)
+    mixed = sorted(((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, once, None).collect()), key=str)
+    assert mixed == got
