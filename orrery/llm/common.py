@@ -23,10 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own is set only where none
-    is (single-machine tests)."""
+    is and the master is local (single-machine tests): elsewhere executors could not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -34,10 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage.
 
-    Spark's cleaner removes the files once nothing refers to them.
+    The size estimate of the old plan goes too: a checkpoint hands it on, and the joins of a
+    loop multiply it, so its digits would double in a round.  Adaptive execution sees real sizes.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def lower_ascii(text: Column) -> Column:

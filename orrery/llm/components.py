@@ -8,26 +8,37 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours linked with the smallest of the node and its neighbours;
+    of (a, b) with a > b, once each."""
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select("b", F.least("a", "b")))
+    least = ends.groupBy(F.col("id").alias("b")).agg(F.min("other").alias("low"))
+    return edges.join(least, "b").select("a", F.col("low").alias("b")).distinct()
+
+
+def small_stars(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours linked with the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    more = edges.join(least.where("low < high").select("a", "low"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return least.select("a", F.col("low").alias("b")).unionAll(more).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each end of (a, b).
 
-    Every node keeps a parent.  In a round it hears the smallest grandparent of its
-    neighbours, m; its own and its parent's parent become m if that is smaller, and it
-    skips to its grandparent.  As whole trees hook on at their parents, the rounds grow with
-    the logarithm of a component's size.  Parents of a round are cut to the shared
-    folder, and minima are formed before their shuffle.
+    Rounds turn neighbourhoods into stars around their smallest node: first each node with its
+    smaller neighbours, then each node's larger ones.  A node with one smaller neighbour joins
+    nothing in the first step, so a large group is one star after few rounds, and its
+    edges are then one a node.  Rounds end where the edges no longer change; they are cut
+    to the shared folder, and minima are formed before their shuffle.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = cut(both.toDF("id", "other"))
-    nodes = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
-    for _ in range(rounds):
-        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("top"))
-        nodes = nodes.join(above, "up").select("id", "up", "top")
-        heard = both.join(nodes.select(F.col("id").alias("other"), "top"), "other").groupBy("id").agg(F.min("top").alias("m"))
-        known = nodes.join(heard, "id").select("id", "up", F.least("top", "m").alias("new"))
-        moved = known.select("id", "new", F.col("up").alias("old")).unionAll(known.select(F.col("up").alias("id"), "new", F.lit(None).cast("long").alias("old")))
-        state = cut(moved.groupBy("id").agg(F.min("new").alias("up"), F.max("old").alias("old")))
-        nodes = state.select("id", "up")
-        if not state.where("up <> old").limit(1).count():
-            return nodes.withColumnRenamed("up", "component")
-    raise AssertionError("components did not settle")
+    apart = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = cut(small_stars(cut(apart)))
+    before = None
+    while True:
+        now = cut(small_stars(cut(stars(now))))
+        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if seen == before:
+            break
+        before = seen
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b"), F.col("b")).distinct())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,11 @@ from .components import components
 SHINGLE = 5
 #: Documents link at this similarity or more: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Two sets meet if all ROWS minima of one of BANDS bands agree: at similarity 0.75 a pair
-#: misses with a chance of (1 - 0.75 ** 3) ** 64 < 1e-15, less than that of a hash clash.
-BANDS, ROWS = 64, 3
+#: Counters of the shingle counts that put rare shingles first, and those of a row of them.
+COUNTERS, SPAN = 1 << 22, 1 << 16
 #: Bits of a token bitmap and children of a tree node.
 BITS, FAN = 2048, 8
-#: Shingles of a block of families; a family above is divided into chunks.
+#: Shingles of a block of hubs; a hub above is divided into chunks.
 BLOCK_SHINGLES = 1 << 20
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 15
@@ -39,26 +39,49 @@ def shingles(text: str, hasher: WordHasher) -> np.ndarray:
     return np.unique(window_hashes(h, SHINGLE))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return (seeds >> U64(32)).astype(np.uint32) | np.uint32(1), seeds.astype(np.uint32)
+def shingle_levels(docs: DataFrame) -> np.ndarray:
+    """About four times the binary logarithm of how many texts hold a shingle, by COUNTERS hashed
+    counters over all of (id, text).  A table of fixed size, whatever the input: shingles that share
+    a counter share a level, which costs time, not links."""
 
+    def count(batches):
+        hasher, held = WordHasher(), np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for part in slices(batch):
+                each = [shingles(t, hasher) for t in part.column(1).to_pylist() if t]
+                held += np.bincount((np.concatenate(each) % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) if each else 0
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for k in range(0, COUNTERS, SPAN):
+            if held[k : k + SPAN].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // SPAN], pa.int32()), pa.array([zip_.compress(held[k : k + SPAN].tobytes())])], names=["span", "held"])
+
+    def add(batches):
+        total, unzip = {}, zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sum_ = total.setdefault(k, np.zeros(SPAN, np.uint64))
+                sum_ += np.frombuffer(unzip.decompress(held), np.uint32)
+        for k, sum_ in total.items():
+            level = np.minimum(4 * np.log2(1.0 + sum_), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()])], names=["span", "levels"])
+
+    spans = docs.mapInArrow(count, "span int, held binary").repartition(COUNTERS // SPAN, "span").mapInArrow(add, "span int, levels binary")
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in spans.collect():
+        out[r.span * SPAN : (r.span + 1) * SPAN] = np.frombuffer(r.levels, np.uint8)
+    return out
 
-SCALE, SHIFT = _permutations()
 
+def prefix(sets: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets that link share one of theirs.
 
-def bands(sets: np.ndarray) -> np.ndarray:
-    """BANDS keys of a shingle set, each of ROWS minima under random linear maps."""
-    x = (sets >> U64(32)).astype(np.uint32) ^ sets.astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(x), 2048):
-        part = x[a : a + 2048]
-        np.minimum(least, (SCALE[:, None] * part[None, :] + SHIFT[:, None]).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS).astype(U64)
-    key = np.arange(1, BANDS + 1, dtype=U64)
-    for r in range(ROWS):
-        key = mix64(key * U64(0x9E3779B97F4A7C15) + rows[:, r])
-    return key.view(np.int64)
+    All sets order shingles alike, by level and then by hash.  A link needs an overlap of
+    at least NUMERATOR / DENOMINATOR of either set, so what lies beyond either prefix is too
+    little for one: of the common shingles, the first is in both prefixes.
+    """
+    most = len(sets) - -(-NUMERATOR * len(sets) // DENOMINATOR) + 1
+    order = (levels[(sets % U64(COUNTERS)).astype(np.int64)].astype(U64) << U64(56)) | (mix64(sets) >> U64(8))
+    return sets[np.argpartition(order, most - 1)[:most]].view(np.int64) if most < len(sets) else sets.view(np.int64)
 
 
 def identity(sets: np.ndarray) -> tuple[int, int]:
@@ -67,17 +90,18 @@ def identity(sets: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, h1, h2, keys) of (id, text): set size, 128-bit identity of the set, band keys."""
+    """(id, n, h1, h2, keys) of (id, text): set size, 128-bit identity of the set, its prefix."""
+    table = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, levels = WordHasher(), table.value
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     s = shingles(text or "", hasher)
                     if len(s):
-                        rows.append((doc, len(s), *identity(s), bands(s)))
+                        rows.append((doc, len(s), *identity(s), prefix(s, levels)))
                     else:
                         rows.append((doc, 0, 0, 0, None))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -158,18 +182,6 @@ class Union:
         return i
 
 
-class Union:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact test on two sorted sets."""
     if len(a) > len(b):
@@ -212,12 +224,13 @@ def incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_links(a: SignatureTree, b: SignatureTree, itself: bool):
+def tree_links(a: SignatureTree, b: SignatureTree, itself: bool, elsewhere=None):
     """Every pair of sets of two trees (or of one with ``itself``) that links, once, as arrays
     of positions in a and in b.
 
     Node pairs are taken from a stack in parts of FRONTIER; a pair that can't link is dropped, else
-    its children's pairs follow.
+    its children's pairs follow.  ``elsewhere`` tells for arrays of ids which pairs of
+    them are another block's.
     """
     top = (len(a.levels) - 1, len(b.levels) - 1)
     stack = [(*top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(a.ids) and len(b.ids) else []
@@ -232,6 +245,9 @@ def tree_links(a: SignatureTree, b: SignatureTree, itself: bool):
         good = possible(a, b, la, lb, x, y)
         x, y = x[good], y[good]
         if la == 0 and lb == 0:
+            if elsewhere:
+                keep = ~elsewhere(a.ids[x], b.ids[y])
+                x, y = x[keep], y[keep]
             good = linked_pairs(a, b, x, y)
             yield x[good], y[good]
             continue
@@ -261,11 +277,11 @@ def hook(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             up[:] = up[up]
 
 
-def count_links(a: SignatureTree, b: SignatureTree, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def count_links(a: SignatureTree, b: SignatureTree, itself: bool, elsewhere=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, first, n) of every set of the two trees: the smallest id of its connected group and its number of links."""
     ids, shift = (a.ids, 0) if itself else (np.concatenate([a.ids, b.ids]), len(a.ids))
     up, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-    for i, j in tree_links(a, b, itself):
+    for i, j in tree_links(a, b, itself, elsewhere):
         n += np.bincount(i, minlength=len(ids)) + np.bincount(j + shift, minlength=len(ids))
         hook(up, i, j + shift)
     first = np.full(len(ids), np.iinfo(np.int64).max)
@@ -297,32 +313,50 @@ def block_trees(side: np.ndarray, ids: np.ndarray, tokens: list[bytes]) -> tuple
     return (part(1), part(2), False) if (side != side[0]).any() else None
 
 
-def candidate_families(classes: DataFrame) -> DataFrame:
-    """(id, family, n): sets that share a band key with another, by the family they are connected in."""
+def met_before(ids: np.ndarray, earlier: list):
+    """For arrays of ids, which pairs also meet in an earlier unit: both have it in their ``earlier`` units."""
+    kinds = {}
+    kind = np.array([kinds.setdefault(tuple(sorted(e)), len(kinds)) for e in earlier], np.int64)
+    names = sorted({u for k in kinds for u in k})
+    has = np.zeros((len(kinds), len(names)), np.float32)
+    for k, i in kinds.items():
+        has[i, np.searchsorted(names, k)] = 1
+    share = (has @ has.T) > 0
+    order = np.argsort(ids)
+    at = lambda x: kind[order[np.searchsorted(ids, x, sorter=order)]]
+    return (lambda x, y: share[at(x), at(y)]) if share.any() else None
+
+
+def hub_members(classes: DataFrame) -> DataFrame:
+    """(id, hub): every set that shares a prefix shingle with another, and for each such shingle the smallest
+    set that has it, once.  Two sets that link share a hub."""
     keyed = classes.select("id", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    edges = keyed.join(first, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    family = components(edges).withColumnRenamed("component", "family")
-    return family.join(classes.select("id", "n"), "id")
+    first = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    return keyed.join(first, "key").select("id", "hub").distinct()
+
 
+def deal_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, block, side, earlier): the sets that blocks join.
 
-def deal_blocks(families: DataFrame) -> DataFrame:
-    """(id, block, side): whole families share blocks of about BLOCK_SHINGLES; a larger family is
-    divided into chunks, and every pair of its chunks is a block with two sides (1, 2).  Whole
-    families and single chunks are side 0, joined with itself, so a pair of sets meets in one block only."""
-    size = cut(families.groupBy("family").agg(F.sum("n").alias("total")))
+    Whole hubs are dealt to units of about BLOCK_SHINGLES, each a block; a larger hub is a unit
+    of its own and divided into chunks, and every pair of its chunks is a block with two sides
+    (1, 2).  Blocks of whole hubs and single chunks are side 0, joined with itself.
+    ``earlier`` are a set's units below this one: a pair counts in the first unit that both have.
+    """
+    members = cut(members.join(classes.select("id", "n"), "id"))
+    size = cut(members.groupBy("hub").agg(F.sum("n").alias("total")))
     small = size.where(F.col("total") <= BLOCK_SHINGLES).agg(F.sum("total")).first()[0] or 0
-    blocks = max(fan_out(families), -(-small // BLOCK_SHINGLES))
-    sized = families.join(size, "family")
-    whole = sized.where(F.col("total") <= BLOCK_SHINGLES).select(
-        "id", F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(blocks))).alias("block"), F.lit(0).alias("side")
-    )
-    chunks = F.ceil(2 * F.col("total") / BLOCK_SHINGLES)
-    large = sized.where(F.col("total") > BLOCK_SHINGLES).withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")))
-    pairs = large.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    name = F.concat_ws("-", "family", F.least("c", "d"), F.greatest("c", "d"))
+    blocks = max(fan_out(members), -(-small // BLOCK_SHINGLES))
+    chunks = F.when(F.col("total") > BLOCK_SHINGLES, F.ceil(2 * F.col("total") / BLOCK_SHINGLES)).otherwise(F.lit(1))
+    unit = F.when(F.col("total") > BLOCK_SHINGLES, F.col("hub")).otherwise(-1 - F.pmod(F.xxhash64("hub"), F.lit(blocks)))
+    placed = members.join(size, "hub").select("id", unit.alias("unit"), chunks.alias("k")).distinct()
+    units = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("unit", "k"))).alias("units"))
+    each = units.select("id", "units", F.explode("units").alias("u")).select("id", "u.unit", "u.k", F.filter(F.col("units.unit"), lambda x: x < F.col("u.unit")).alias("earlier"))
+    each = each.withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")))
+    pairs = each.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    name = F.concat_ws("-", "unit", F.least("c", "d"), F.greatest("c", "d"))
     side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
-    return whole.unionByName(pairs.select("id", name.alias("block"), side.alias("side")))
+    return pairs.select("id", name.alias("block"), side.alias("side"), "earlier")
 
 
 BLOCK_COUNTS, BLOCK_LINKS = "id long, first long, n long", "a long, b long"
@@ -335,15 +369,17 @@ def numbered_classes(sets: DataFrame) -> DataFrame:
 
 
 def in_blocks(named: DataFrame, classes: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on the sets of every block: each candidate family's sets travel once, by class and side."""
-    families = cut(candidate_families(classes))
-    placed = cut(deal_blocks(families).join(classes.select("id", "first", "h1", "h2"), "id"))
+    """``run`` on the sets of every block: each set travels once to each of its blocks, by class and side."""
+    placed = cut(deal_blocks(hub_members(classes), classes).join(classes.select("id", "first", "h1", "h2"), "id"))
     tokens = token_sets(named.join(placed.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
-    return cut(placed.join(tokens, ["first", "h1", "h2"]).select("block", "side", "id", "tokens").groupBy("block").applyInArrow(run, schema))
+    return cut(placed.join(tokens, ["first", "h1", "h2"]).select("block", "side", "id", "earlier", "tokens").groupBy("block").applyInArrow(run, schema))
 
 
-def trees_of(table) -> tuple[SignatureTree, SignatureTree, bool] | None:
-    return block_trees(table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("tokens").to_pylist())
+def trees_of(table) -> tuple | None:
+    """The two trees of a block, whether they are one, and which pairs are another block's; None without pairs."""
+    ids = table.column("id").to_numpy()
+    trees = block_trees(table.column("side").to_numpy(), ids, table.column("tokens").to_pylist())
+    return trees and (*trees, met_before(ids, table.column("earlier").to_pylist()))
 
 
 def named_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -383,11 +419,11 @@ def count_document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     number.  Rows with one id are one document in components, linked through its id; class and number are
     those of the row's own text.
 
-    Equal sets are one class.  Classes that share a band key form families, which are far
-    smaller than the table; each family's sets travel once, to blocks that join them exactly with
-    signature trees.  Every link is found and counted in one block; a block gives each class its
-    number of links and the smallest class of its group, so the rows grow with the
-    classes, not with the links.
+    Equal sets are one class.  Classes that share one of their rarest shingles meet at the hub of
+    that shingle, the smallest class that has it (see ``prefix``: no link is lost); hubs share
+    blocks, which join their sets exactly with signature trees.  No closure of candidates is formed.
+    Every link is tested and counted in one block; a block gives each class its number of links
+    and the smallest class of its group, so the rows grow with the classes, not with the links.
     """
     named, signed, sets = named_sets(docs, id_col, text_col)
     classes = numbered_classes(sets)
