@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHasher, documents, fan_out, mix64, slices, window_hashes
+from .common import U64, documents, fan_out, mix64, slices, window_hashes
 
 WINDOW = 13
 #: Words of the m-mers among which a window's minimiser is chosen.
 MMER = 3
-#: Bytes of text that a map task works on at once, and packed bytes meant for a partition.
+#: Bytes of text that a map task works on at once, and bytes of runs meant for a partition.
 BLOCK_BYTES = 6 << 20
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Hashed counters of minimisers, which tell the frequent ones.
+COUNTERS = 1 << 16
 #: Packed bytes a byte of text: a run of windows shares its words.
 BLOW_UP = 3.0
 
 
-def word_ids(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Exact dense number of each word, and the distinct words."""
-    distinct = list(set(words))
-    of = dict(zip(distinct, range(len(distinct)))).__getitem__
-    return np.fromiter(map(of, words), np.int64, len(words)), distinct
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, ends, counts): the words of all texts as bytes, each with a space behind; where each
+    ends, its space included; and how many each text has."""
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = SPACES[raw]
+    behind = space.copy()
+    behind[1:] &= ~space[:-1]
+    behind[:1] = False
+    keep = ~space | behind
+    data = raw[keep]
+    ends = np.flatnonzero(behind[keep]) + 1
+    data[ends - 1] = 32
+    upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return data, ends, np.diff(np.searchsorted(np.flatnonzero(behind), upto), prepend=0)
+
+
+def word_ids(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact dense number of each word of ``cut_words``, and the distinct words as (data, ends)."""
+    offsets = np.r_[0, ends].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = words.dictionary_encode()
+    _, at, held = coded.dictionary.buffers()
+    n = len(coded.dictionary)
+    bounds = np.frombuffer(at, np.int64, n + 1) if n else np.zeros(1, np.int64)
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(held or b"", np.uint8)[: bounds[-1]], bounds[1:]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each of the words (data, ends); words that share one also share their minimisers, no more."""
+    begin = np.r_[0, ends[:-1]].astype(np.int64)
+    place = (np.arange(len(data)) - np.repeat(begin, ends - begin)) % len(PLACES)
+    return mix64(np.add.reduceat((data.astype(U64) + U64(1)) * PLACES[place], begin)) if len(ends) else np.zeros(0, U64)
 
 
 def equal_windows(ids: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +122,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+PLACES = mix64(np.arange(1, 1025, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 FOUND = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("places", pa.binary())])
 
 
@@ -110,28 +139,73 @@ def unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.cumsum(long[:n]), long[n:], short[:n], short[n:]
 
 
+def minimisers(data: np.ndarray, ends: np.ndarray, width: int, mmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first, second): numbers of the words, and at each place the least hash of the m-mers of the
+    window that begins there, in two orders of m-mers."""
+    ids, *distinct = word_ids(data, ends)
+    m = window_hashes(word_hashes(*distinct)[ids], mmer, seed=99)
+    span = width - mmer + 1
+    return ids, *(sliding_min(x, span) if len(m) >= span else np.zeros(0, U64) for x in (m, mix64(m + U64(1))))
+
+
+def blocks_of(batches, width: int):
+    """Lists of (id, key, text) of about BLOCK_BYTES, without texts too short for a window."""
+    rows, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            for doc, key, text in zip(*[c.to_pylist() for c in part.columns]):
+                if len(text) >= 2 * width - 1:
+                    rows.append((doc, key, text))
+                    size += len(text)
+                if size >= BLOCK_BYTES:
+                    yield rows
+                    rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def divisions(docs: DataFrame, parts: int, width: int, mmer: int) -> np.ndarray:
+    """Into how many a minimiser's windows are divided, for each counter: 1 unless it has more windows
+    than a partition is meant for (or, with more partitions than counters, than four even counters)."""
+
+    def count(batches):
+        held = np.zeros(COUNTERS, np.int64)
+        for rows in blocks_of(batches, width):
+            data, ends, counts = cut_words([r[2] for r in rows])
+            first = minimisers(data, ends, width, mmer)[1]
+            held += np.bincount((first[starts_of(counts, width)[0]] % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["counter", "n"])
+
+    held = np.zeros(COUNTERS, np.int64)
+    for r in docs.mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        held[r.counter] = r.n
+    meant = max(1.0, held.sum() / parts, 4 * held.sum() / COUNTERS)
+    return np.ceil(np.maximum(held, 1) / meant).astype(np.int64)
+
+
 class Splitter:
     """Cuts blocks of documents into super-k-mers by partition."""
 
-    def __init__(self, parts: int, width: int, mmer: int) -> None:
-        self.parts, self.width, self.mmer = parts, width, mmer
-        self.hasher, self.zip = WordHasher(), zstandard.ZstdCompressor(level=3)
+    def __init__(self, parts: int, width: int, mmer: int, ways: np.ndarray) -> None:
+        self.parts, self.width, self.mmer, self.ways = parts, width, mmer, ways.astype(U64)
+        self.zip = zstandard.ZstdCompressor(level=3)
 
-    def __call__(self, rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
-        """A row per partition for a block of (id, key, words).
+    def __call__(self, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        """A row per partition for a block of (id, key, text).
 
         A window that a smaller document of the block also holds is a copy already: only
         its place is passed on (packed is null).  The others are sent, as the words of
         the runs of consecutive windows that share a minimiser; so a passage that
-        most documents hold is sent once a block.
+        most documents hold is sent once a block.  Windows of a frequent minimiser are
+        divided by another, so runs of theirs share both.
         """
         width = self.width
         rows.sort(key=lambda r: (r[0], r[1]))
-        words = [w for r in rows for w in r[2]]
-        counts = np.array([len(r[2]) for r in rows], np.int64)
+        data, ends, counts = cut_words([r[2] for r in rows])
         begin = np.cumsum(counts) - counts
         doc, key = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        ids, distinct = word_ids(words)
+        ids, least, other = minimisers(data, ends, width, self.mmer)
         starts, text = starts_of(counts, width)
         copy = later_copies(ids, starts, doc[text], width)
         out = []
@@ -141,40 +215,30 @@ class Splitter:
             out.append((int(doc[0] % self.parts), None, self.zip.compress(pack_places(*own))))
         starts, text = starts[~copy], text[~copy]
         if len(starts):
-            hashes = self.hasher.of(distinct)[ids]
-            least = sliding_min(window_hashes(hashes, self.mmer, seed=99), width - self.mmer + 1)[starts]
+            least = least[starts]
+            least = mix64(least + mix64(other[starts] % self.ways[(least % U64(COUNTERS)).astype(np.int64)]))
             at = np.flatnonzero(np.r_[True, (starts[1:] != starts[:-1] + 1) | (text[1:] != text[:-1]) | (least[1:] != least[:-1])])
             n = np.diff(np.r_[at, len(starts)])
-            first, text, part = starts[at], text[at], (mix64(least[at]) % U64(self.parts)).astype(np.int64)
-            blob = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            first, text, part = starts[at], text[at], (least[at] % U64(self.parts)).astype(np.int64)
+            blob = data.tobytes()
             order = np.argsort(part, kind="stable")
             first, text, part, n = first[order], text[order], part[order], n[order]
-            lo, hi = np.r_[0, ends][first].tolist(), (ends[first + n + width - 2] - 1).tolist()
+            lo, hi = np.r_[0, ends][first].tolist(), ends[first + n + width - 2].tolist()
             bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
             for a, b in zip(bounds, bounds[1:]):
-                packed = self.zip.compress(b"\n".join([blob[x:y] for x, y in zip(lo[a:b], hi[a:b])]))
+                packed = self.zip.compress(b"".join([blob[x:y] for x, y in zip(lo[a:b], hi[a:b])]))
                 own = doc[text[a:b]], key[text[a:b]], first[a:b] - begin[text[a:b]], n[a:b]
                 out.append((int(part[a]), packed, self.zip.compress(pack_places(*own))))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), FOUND)] if out else [pa.array([], f.type) for f in FOUND], schema=FOUND)
 
 
 def split(docs: DataFrame, parts: int, width: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """Super-k-mers of (id, key, text), packed by partition."""
+    """Super-k-mers of (id, key, text as bytes), packed by partition."""
+    ways = divisions(docs, parts, width, mmer)
 
     def run(batches):
-        splitter, rows, size = Splitter(parts, width, mmer), [], 0
-        for batch in batches:
-            for part in slices(batch):
-                for doc, key, text in zip(*[c.to_pylist() for c in part.columns]):
-                    words = text.encode("utf-8", "replace").split()
-                    if len(words) >= width:
-                        rows.append((doc, key, words))
-                        size += len(text)
-                    if size >= BLOCK_BYTES:
-                        yield splitter(rows)
-                        rows, size = [], 0
-        if rows:
+        splitter = Splitter(parts, width, mmer, ways)
+        for rows in blocks_of(batches, width):
             yield splitter(rows)
 
     return docs.mapInArrow(run, "part int, packed binary, places binary")
@@ -192,7 +256,8 @@ def count_windows(table: pa.Table, width: int = WINDOW) -> pa.Table:
     out = [[c] for c in places(table.filter(table["packed"].is_null()))]
     if sent.num_rows:
         doc, key, first, n = places(sent)
-        ids, _ = word_ids(b"\n".join([unzip.decompress(x) for x in sent["packed"].to_pylist()]).split())
+        data = np.frombuffer(b"".join([unzip.decompress(x) for x in sent["packed"].to_pylist()]), np.uint8)
+        ids = word_ids(data, np.flatnonzero(data == 32) + 1)[0]
         starts, text = starts_of(n + width - 1, width)
         copy = later_copies(ids, starts, doc[text], width)
         if copy.any():
@@ -213,9 +278,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id keep all words and count for none.  Rows with one id are
     one document: they don't remove each other's words.
 
-    One partition is meant to hold PART_BYTES of packed windows, so their number follows
-    the input.  A minimiser has MMER words: all windows around a frequent one meet in a
-    partition, but for the copies that each block of a map task already knows.
+    One partition is meant to hold PART_BYTES of runs, so their number follows the input.  A
+    minimiser has ``mmer`` words; the windows around a frequent one are dealt to partitions by a
+    second minimiser, so equal windows still meet.  Copies that a block of a map task
+    knows are not sent at all.
     """
 
     def count(table):
@@ -225,7 +291,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
     repeated = ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
     key = F.xxhash64(text) if repeated else F.lit(0).cast("long")  # tells rows of one id apart
-    named = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text.alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text.cast("binary").alias("text"))
     if parts is None:
         size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(fan_out(docs), int(size * BLOW_UP / PART_BYTES) + 1)
@@ -238,7 +304,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for part in slices(batch):
                 out = []
                 for doc, text, first, count in zip(*[c.to_pylist() for c in part.columns]):
-                    words = text.encode("utf-8", "replace").split()
+                    words = text.split()
                     n = len(words)
                     if first:
                         edge = np.zeros(n + 1, np.int64)
