@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, UPPER, WordHasher, cut, documents, fan_out, mix64, slices, window_hashes
@@ -16,6 +16,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Counters of the shingle counts that put rare shingles first, and those of a row of them.
 COUNTERS, SPAN = 1 << 22, 1 << 16
+#: A prefix has a set's size / SPARE shingles more than one shared shingle needs, so sets that link share more.
+SPARE = 20
+#: A shingle is hot if its counter has HOT_TEXTS texts and HOT_TIMES the mean.
+HOT_TEXTS, HOT_TIMES = 1 << 16, 4
 #: Bits of a token bitmap and children of a tree node.
 BITS, FAN = 2048, 8
 #: Shingles of a block of hubs; a hub above is divided into chunks.
@@ -72,16 +76,28 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def hot_level(levels: np.ndarray) -> int:
+    """The level from which shingles are hot."""
+    mean = float((2.0 ** (levels / 4.0)).mean())
+    return int(np.ceil(4 * np.log2(max(HOT_TEXTS, HOT_TIMES * mean))))
+
+
 def prefix(sets: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets that link share one of theirs.
+    """The rarest shingles of a set, so many that two sets that link share ``least_shared`` of them.
 
     All sets order shingles alike, by level and then by hash.  A link needs an overlap of
     at least NUMERATOR / DENOMINATOR of either set, so what lies beyond either prefix is too
-    little for one: of the common shingles, the first is in both prefixes.
+    little for one: the first of the common shingles are in both prefixes.
     """
-    most = len(sets) - -(-NUMERATOR * len(sets) // DENOMINATOR) + 1
+    n = len(sets)
+    most = n - -(-NUMERATOR * n // DENOMINATOR) + 1 + n // SPARE
     order = (levels[(sets % U64(COUNTERS)).astype(np.int64)].astype(U64) << U64(56)) | (mix64(sets) >> U64(8))
-    return sets[np.argpartition(order, most - 1)[:most]].view(np.int64) if most < len(sets) else sets.view(np.int64)
+    return sets[np.argpartition(order, most - 1)[:most]] if most < n else sets
+
+
+def least_shared(n: Column) -> Column:
+    """How many shingles of its prefix a set of n shares with any that it links with."""
+    return F.least(F.floor(n / SPARE) + 1, F.ceil(n * NUMERATOR / DENOMINATOR))
 
 
 def identity(sets: np.ndarray) -> tuple[int, int]:
@@ -90,8 +106,10 @@ def identity(sets: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, h1, h2, keys) of (id, text): set size, 128-bit identity of the set, its prefix."""
-    table = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
+    """(id, n, h1, h2, keys, hot) of (id, text): set size, 128-bit identity of the set, its prefix without
+    and with hot shingles only."""
+    found = shingle_levels(docs)
+    table, hot = docs.sparkSession.sparkContext.broadcast(found), hot_level(found)
 
     def run(batches):
         hasher, levels = WordHasher(), table.value
@@ -101,14 +119,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     s = shingles(text or "", hasher)
                     if len(s):
-                        rows.append((doc, len(s), *identity(s), prefix(s, levels)))
+                        keys = prefix(s, levels)
+                        often = levels[(keys % U64(COUNTERS)).astype(np.int64)] >= hot
+                        rows.append((doc, len(s), *identity(s), keys[~often].view(np.int64), keys[often].view(np.int64)))
                     else:
-                        rows.append((doc, 0, 0, 0, None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                names = ["id", "n", "h1", "h2", "keys"]
+                        rows.append((doc, 0, 0, 0, None, None))
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+                names = ["id", "n", "h1", "h2", "keys", "hot"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys array<long>, hot array<long>")
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
@@ -327,23 +347,39 @@ def met_before(ids: np.ndarray, earlier: list):
     return (lambda x, y: share[at(x), at(y)]) if share.any() else None
 
 
-def hub_members(classes: DataFrame) -> DataFrame:
-    """(id, hub): every set that shares a prefix shingle with another, and for each such shingle the smallest
-    set that has it, once.  Two sets that link share a hub."""
-    keyed = classes.select("id", F.explode("keys").alias("key"))
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(id, hub): for each key of two sets or more, each of them and the smallest."""
     first = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    return keyed.join(first, "key").select("id", "hub").distinct()
+    return keyed.join(first, "key").select("id", "hub")
+
+
+def hub_members(classes: DataFrame) -> DataFrame:
+    """(id, hub, n): sets at the hubs where they may link: a hub is the smallest set with a prefix shingle.
+
+    Two sets that link share least_shared shingles of their prefixes, and so a hub with that number over the
+    number of either one's hubs; sets stay at hubs where they share so many, and hubs of one set go.
+    Hot shingles are counted and joined with partial sums and split tasks; the others are dealt
+    by shingle once, for both.
+    """
+    keys, hot = (classes.select("id", F.explode(c).alias("key")) for c in ("keys", "hot"))
+    met = shared_keys(keys.repartition("key")).unionAll(shared_keys(hot)).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
+    members = cut(met.join(classes.select("id", "n"), "id"))
+    for _ in range(2):
+        hubs = F.count(F.lit(1)).over(Window.partitionBy("id"))
+        strong = members.withColumn("hubs", hubs).where(F.col("c") * F.col("hubs") >= least_shared(F.col("n"))).drop("hubs")
+        several = strong.groupBy("hub").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hub")
+        members = cut(strong.join(several, "hub", "left_semi"))
+    return members.select("id", "hub", "n")
 
 
-def deal_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, block, side, earlier): the sets that blocks join.
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """(id, block, side, earlier): the sets that blocks join, of (id, hub, n).
 
     Whole hubs are dealt to units of about BLOCK_SHINGLES, each a block; a larger hub is a unit
     of its own and divided into chunks, and every pair of its chunks is a block with two sides
     (1, 2).  Blocks of whole hubs and single chunks are side 0, joined with itself.
     ``earlier`` are a set's units below this one: a pair counts in the first unit that both have.
     """
-    members = cut(members.join(classes.select("id", "n"), "id"))
     size = cut(members.groupBy("hub").agg(F.sum("n").alias("total")))
     small = size.where(F.col("total") <= BLOCK_SHINGLES).agg(F.sum("total")).first()[0] or 0
     blocks = max(fan_out(members), -(-small // BLOCK_SHINGLES))
@@ -363,14 +399,14 @@ BLOCK_COUNTS, BLOCK_LINKS = "id long, first long, n long", "a long, b long"
 
 
 def numbered_classes(sets: DataFrame) -> DataFrame:
-    """(id, n, h1, h2, first, keys): the classes of equal sets under numbers of their own, each with its smallest document."""
-    classes = sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    """(id, n, h1, h2, first, keys, hot): the classes of equal sets under numbers of their own, each with its smallest document."""
+    classes = sets.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("hot").alias("hot"))
     return cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
 
 def in_blocks(named: DataFrame, classes: DataFrame, run, schema: str) -> DataFrame:
     """``run`` on the sets of every block: each set travels once to each of its blocks, by class and side."""
-    placed = cut(deal_blocks(hub_members(classes), classes).join(classes.select("id", "first", "h1", "h2"), "id"))
+    placed = cut(deal_blocks(hub_members(classes)).join(classes.select("id", "first", "h1", "h2"), "id"))
     tokens = token_sets(named.join(placed.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
     return cut(placed.join(tokens, ["first", "h1", "h2"]).select("block", "side", "id", "earlier", "tokens").groupBy("block").applyInArrow(run, schema))
 
@@ -436,7 +472,7 @@ def count_document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     counted = in_blocks(named, classes, run, BLOCK_COUNTS)
     links = counted.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    own = cut(sets.select(F.col("id").alias("doc"), "n", "h1", "h2").distinct().join(classes.drop("keys"), ["n", "h1", "h2"]).select("doc", "id", "first"))
+    own = cut(sets.select(F.col("id").alias("doc"), "n", "h1", "h2").distinct().join(classes.drop("keys", "hot"), ["n", "h1", "h2"]).select("doc", "id", "first"))
     shared = own.groupBy("doc").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("doc", "low")
     links = links.union(own.join(shared, "doc").where("id <> low").select("id", "low"))
     found = components(links).join(classes.select("id", "first"), "id")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import components, jaccard, langid, line_dedup, pii, quality, substring
 
@@ -90,6 +91,36 @@ def test_jaccard_join_divides_large_families(spark, monkeypatch):
     assert got == sorted(brute_components(texts))
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 0])
+def test_jaccard_join_among_boilerplate(spark, monkeypatch, hot):
+    """Half of each text is shared by all; links lie on both sides of the threshold."""
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 0.5 if not hot else 4)
+    r = random.Random(11)
+    shared, texts = [f"b{i}" for i in range(60)], []
+    for k in range(50):
+        own = [f"o{k}x{i}" for i in range(60)]
+        for edits in (0, r.randint(1, 2), r.randint(2, 5)):
+            words = own + shared
+            for _ in range(edits):
+                words[r.randrange(120)] = f"n{r.random()}"
+            texts.append(" ".join(words))
+    got = sorted(tuple(r) for r in jaccard.link_documents(docs(spark, texts)).collect())
+    assert got == sorted(brute_components(texts)) and 50 < len({g[2] for g in got}) < 150
+
+
+def test_prefixes_of_linked_sets_share_enough(spark):
+    r = np.random.default_rng(4)
+    levels = r.integers(0, 30, jaccard.COUNTERS).astype(np.uint8)
+    for n in (1, 2, 3, 4, 7, 20, 100, 500):
+        for _ in range(40):
+            a = np.unique(jaccard.mix64(r.integers(1, 1 << 60, n).astype(np.uint64)))
+            b = np.unique(np.r_[a[r.random(len(a)) < 0.9], jaccard.mix64(r.integers(1, 1 << 60, n // 12).astype(np.uint64))])
+            if jaccard.linked(a, b):
+                both = len(np.intersect1d(jaccard.prefix(a, levels), jaccard.prefix(b, levels)))
+                assert both >= max(min(len(x) // jaccard.SPARE + 1, -(-75 * len(x) // 100)) for x in (a, b))
+
+
 def test_jaccard_join_with_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(5, a), (5, b), (3, b), (None, a), (7, a), (7, a), (8, None)]
@@ -179,6 +210,21 @@ def test_components(spark):
         assert component == min(seen)
 
 
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(10_000)] + [(20_000 + (i * 7919) % 500, 30_000) for i in range(500)]
+    got = {x.id: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(10_001)) and all(got[20_000 + i] == 20_000 for i in range(500)) and len(got) == 10_502
+
+
+def test_cut_drops_size_estimates(spark):
+    state = components.cut(spark.range(10))
+    digits = set()
+    for _ in range(6):
+        state = components.cut(state.join(state.withColumnRenamed("id", "other"), state["id"] == F.col("other")).select("id"))
+        digits.add(len(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert len(digits) == 1
+
+
 def brute_lines(texts):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
     held = {}
