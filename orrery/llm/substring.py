@@ -189,7 +189,7 @@ class Splitter:
 
     def __init__(self, parts: int, width: int, mmer: int, ways: np.ndarray) -> None:
         self.parts, self.width, self.mmer, self.ways = parts, width, mmer, ways.astype(U64)
-        self.zip = zstandard.ZstdCompressor(level=3)
+        self.zip = zstandard.ZstdCompressor(level=6)
 
     def __call__(self, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         """A row per partition for a block of (id, key, text).
