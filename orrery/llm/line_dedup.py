@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, UPPER, documents, lower_ascii
 
+#: A line that more than 1 in HOT rows have is broadcast.
+HOT = 1024
+
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a name made from it that no column of ``df`` has."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def key_hash(key: Column) -> Column:
     """Identity of a key: 64 + 32 bits of two hash families and the key's length."""
     return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"), F.octet_length(key).alias("n"))
@@ -25,49 +36,54 @@ def dedup_lines(
 
     Returns every row and column of ``docs`` with ``text_col`` replaced and
     ``n_lines`` and ``n_dropped`` (long) added; columns of those names are
-    overwritten.
+    overwritten, all others stay, whatever they are called.
 
     A line is normalised (white space stripped, A-Z lowered), keys shorter than
     ``min_chars`` code points never count.  Null and empty texts are one empty
     line.  Rows with a null id keep all their lines and do not count as documents;
     rows with the same id are one document.  An empty table gives an empty table.
 
-    Only (hash, id) pairs are exploded and shuffled: they are made distinct first,
-    so that a line found in most documents is spread over the tasks, then counted
-    with map-side partial sums.  Hashes to drop come back to their document as
-    one array, which filters the split text in place, in line order.
+    Only (hash, document, row, places) are exploded and shuffled, a line once a row; counts have
+    map-side partial sums.  Lines of more than 1 in HOT of all rows, HOT lines at most, are
+    broadcast, so that no task gets all documents of one; the others are joined by hash.
+    Places to drop come back to their row as one sorted array, which masks the split text.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.split(text, "\n", -1)
+    name = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))  # rows of one id and text are alike
     held = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.explode(lines).alias("line"))
-        .select("id", line_key(F.col("line")).alias("key"))
+        .select(name.alias("row"), F.posexplode(lines).alias("at", "line"))
+        .select("row", "at", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("id", key_hash(F.col("key")).alias("h"))
-        .distinct()
-    )
-    frequent = (
-        held.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("h", "first")
+        .select("row", "at", key_hash(F.col("key")).alias("h"))
+        .groupBy("row", "h").agg(F.collect_set("at").alias("at"))
     )
+    number = F.count(F.lit(1)) if min_docs <= 2 else F.count_distinct("row.id")
+    counted = held.groupBy("h").agg(number.alias("n"), F.min("row.id").alias("first"), F.max("row.id").alias("last"))
+    frequent = counted.where((F.col("first") < F.col("last")) & (F.col("n") >= min_docs) if min_docs >= 2 else F.lit(True))
+    rows = counted.agg(F.sum("n")).scalar()
+    hot = frequent.where(F.col("n") * HOT > rows).select(F.col("h").alias("hot"), F.col("first").alias("hot_first"))
+    dealt = F.when(F.col("hot_first").isNull(), F.col("h")).otherwise(F.struct(F.xxhash64("row").alias("a"), F.lit(0).alias("b"), F.lit(-1).alias("n")))
+    marked = held.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left").select("row", "at", "hot_first", dealt.alias("h"))
     doomed = (
-        held.join(frequent, "h")
-        .where(F.col("id") != F.col("first"))
-        .groupBy("id")
-        .agg(F.collect_list("h").alias("__doomed"))
-        .withColumnRenamed("id", "__id")
-    )
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("__doomed"), key_hash(line_key(line))), F.lit(False)))
-    return (
-        docs.join(doomed, F.col(id_col) == F.col("__id"), "left")
-        .withColumn("__lines", F.size(lines).cast("long"))
-        .withColumn("__kept", F.when(F.col("__doomed").isNull(), lines).otherwise(kept))
-        .withColumn("n_lines", F.col("__lines"))
-        .withColumn("n_dropped", F.col("__lines") - F.size("__kept"))
-        .withColumn(text_col, F.array_join("__kept", "\n"))
-        .drop("__id", "__doomed", "__lines", "__kept")
+        marked.join(frequent.select("h", "first"), "h", "left")
+        .where(F.col("row.id") != F.coalesce("hot_first", "first"))
+        .groupBy("row")
+        .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias(gone))
+        .withColumnRenamed("row", row)
     )
+    places = F.col(gone)
+    masked = F.flatten(F.transform(places, lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    kept = F.array_compact(F.zip_with(lines, masked, lambda line, drop: F.when(~F.coalesce(drop, F.lit(False)), line)))
+    out = docs.join(doomed, name == F.col(row), "left")
+    columns = {
+        text_col: F.when(places.isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.coalesce(F.size(F.when(places.isNotNull(), places)), F.lit(0)).cast("long"),
+    }
+    return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
