@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -15,7 +16,8 @@ from .common import documents, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: ``[0-9]+(\\.[0-9]+){3}``; as the pattern begins with a whole run of digits, no other start matches.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,9 +26,10 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s(?:at|AT)\s)[A-Za-z0-9-]+(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{2,})+")
 #: Where a spelled "@" may stand: every match of SPELLED has one after its first run of LOCAL characters.
 SIGN = re.compile(r"(?=[\[({]\s?(?:at|AT)\s?[\])}]|\s[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s)")
-#: A run of digit groups; every stretch of its groups is looked at.
-GROUPS = re.compile(r"[(0-9][0-9() ./-]*[0-9]")
+#: A run of digit groups, with what stands before and behind; every stretch of its groups is looked at.
+GROUPS = re.compile(r"[0-9() ./-]++")
 DIGITS = re.compile(r"[0-9]+")
+MOST_GROUPS = 8
 HEX_GROUPS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}")
 #: Addresses with a "::", and what would make it part of a word or of a longer run.
 HEX_SHORT = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
@@ -53,6 +56,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def byte(digits: str) -> bool:
+    """Whether digits, however many, are a number of at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base formats, sorted by start, then kind as listed."""
     found, end, sign = [], 0, text.find("@")
@@ -65,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             found.append((start, end, "email"))
         sign = text.find("@", max(end, sign + 1))
     for m in IP.finditer(text):
-        if all(int(x) <= 255 for x in m.group().split(".")):
+        if all(byte(x) for x in m.group().split(".")):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -91,8 +100,8 @@ def spelled(text: str) -> list[tuple[int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, digits) of every stretch of 9 to 19 digits in consecutive groups of a run; one after
-    a "(" also with it."""
+    """(start, end, digits) of every stretch of 9 to 19 digits in MOST_GROUPS consecutive groups of a run
+    at most; one after a "(" also with it."""
     out = []
     for run in GROUPS.finditer(text):
         if run.end() - run.start() < 9:
@@ -100,7 +109,7 @@ def stretches(text: str) -> list[tuple[int, int, int]]:
         groups = [m.span() for m in DIGITS.finditer(text, run.start(), run.end())]
         for i, (a, _) in enumerate(groups):
             n = 0
-            for x, y in groups[i:]:
+            for x, y in groups[i : i + MOST_GROUPS]:
                 n += y - x
                 if n > 19:
                     break
@@ -276,6 +285,28 @@ def models() -> dict[str, tuple[BoostedTrees, float]]:
     return out
 
 
+class Taken:
+    """The places that spans cover, as sorted intervals that do not overlap."""
+
+    def __init__(self, spans: list) -> None:
+        self.starts, self.ends = [], []
+        for a, b, _ in spans:
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b)
+        return at > 0 and self.ends[at - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect.bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def find_spans(texts: list[str], trained: dict) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; candidates of all texts are scored at once.
 
@@ -285,9 +316,10 @@ def find_spans(texts: list[str], trained: dict) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     rows: dict[str, list] = {k: [] for k in KINDS}
     for i, text in enumerate(texts):
-        taken = base[i]
-        for a, b, kind in candidates(text):
-            if not any(a < y and x < b for x, y, _ in taken):
+        found = candidates(text)
+        taken = Taken(base[i]) if found else None
+        for a, b, kind in found:
+            if not taken.touches(a, b):
                 rows[kind].append((i, a, b))
     added: dict[int, list] = {}
     for kind, spots in rows.items():
@@ -299,9 +331,10 @@ def find_spans(texts: list[str], trained: dict) -> list[tuple[list, list]]:
                     added.setdefault(i, []).append((-score, a, -b, kind))
     out = [(s, s) for s in base]
     for i, more in added.items():
-        every = list(base[i])
+        every, taken = list(base[i]), Taken(base[i])
         for _, a, b, kind in sorted(more):
-            if not any(a < y and x < -b for x, y, _ in every):
+            if not taken.touches(a, -b):
+                taken.add(a, -b)
                 every.append((a, -b, kind))
         out[i] = base[i], sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -252,6 +253,23 @@ def test_line_dedup_null_ids_and_empty_table(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_hot_lines_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    long = "\n".join(f"a line numbered {i}" for i in range(40_000))
+    texts = [f"A line for everyone\nown line number {i}\nA line for everyone" for i in range(40)] + [long, long + "\nand its own end"]
+    df = docs(spark, texts).withColumn("row", F.lit(1)).withColumn("gone", F.lit("x")).withColumn("n_lines", F.lit("old"))
+    out = line_dedup.dedup_lines(df)
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect())
+    assert got == brute_lines(texts) and set(df.columns) < set(out.columns) and {(r.row, r.gone) for r in out.select("row", "gone").collect()} == {(1, "x")}
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(5, "one common line\nsecond line here"), (5, "second line here\none common line"), (5, "second line here\none common line"), (3, "one common line"), (7, "second line here\nSECOND line here")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in out.collect())
+    assert got == [(3, "one common line", 0), (5, "second line here", 1), (5, "second line here", 1), (5, "second line here", 1), (7, "", 2)]
+
+
 def brute_substring(texts, width=13):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
@@ -424,6 +442,39 @@ def test_numbers_beside_others_are_told(spark):
     assert got == ["phones <phone> <phone> here", "call <phone> / <phone> now", "in 2024 <phone> rang", "see 12 <phone> there", "host <ip> up", texts[5]]
 
 
+def test_hostile_texts_take_linear_time():
+    trained = pii.models()
+    texts = ["1" * 5000 + ".1.1.1", "1" * 1_000_000, "a" * 1_000_000 + " dot ", "a" * 1_000_000 + " at b", "(" * 1_000_000, "1" + " " * 1_000_000, "a" * 1_000_000 + "@", "b@" + "c" * 1_000_000]
+    began = time.process_time()
+    found = pii.find_spans(texts, trained)
+    assert time.process_time() - began < 8 and not any(base for base, _ in found)
+    assert pii.base_spans("x 0000000255.1.2.03 y 256.1.1.1 1.2.3.4.5.6.7.8") == [(2, 19, "ip"), (32, 39, "ip"), (40, 47, "ip")]
+
+
+def naive_spans(text, trained):
+    """find_spans by comparing all spans with all."""
+    every = pii.base_spans(text)
+    scored = []
+    for a, b, kind in pii.candidates(text):
+        trees, limit = trained[kind]
+        score = float(trees.predict(np.array([pii.features(text, a, b, kind)]))[0])
+        if score >= limit and not any(a < y and x < b for x, y, _ in pii.base_spans(text)):
+            scored.append((-score, a, -b, kind))
+    for _, a, b, kind in sorted(scored):
+        if not any(a < y and x < -b for x, y, _ in every):
+            every.append((a, -b, kind))
+    return sorted(every, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_added_spans_equal_brute_force():
+    trained, made = pii.models(), pii.examples(seed=99, each=60)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(made)[0] for _ in range(r.randint(1, 6))) for _ in range(60)] + ["", "call 1.2.3.4 or +1 212 555 1234 or a@b.cc"]
+    found = pii.find_spans(texts, trained)
+    assert [every for _, every in found] == [naive_spans(t, trained) for t in texts]
+    assert sum(len(every) - len(base) for base, every in found) > 50
+
+
 def test_models_are_calibrated():
     rows = pii.examples(seed=99, each=150)
     for kind, (trees, limit) in pii.models().items():
