@@ -10,6 +10,8 @@ from .common import cut, documents, gapless_rank
 #: Sizes from 2**PRECISION on are rounded up to PRECISION significant bits, so the
 #: plan has at most 2**PRECISION size classes an octave, whatever the input.
 PRECISION = 12
+#: A group of more than 1 in HOT rows is broadcast to them.
+HOT = 1024
 
 
 class FitTree:
@@ -124,13 +126,27 @@ def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, bins: int
 
 
 def plan_shards(classes: list[tuple[int, int]], shards: int):
-    """The runs of the smallest tried capacity at which ``shards`` bins hold all."""
+    """The runs (size, first, count, bin) of all items over ``shards`` bins.
+
+    An item that is larger than an even share of what is left has a bin of its own, the
+    largest first; the others go best-fit-decreasing into the other bins, at the smallest tried
+    capacity at which they hold all.
+    """
+    left, runs, used = dict(classes), [], 0
     total = sum(s * n for s, n in classes)
-    fair = -(-total // shards)
+    for size in sorted(left, reverse=True):
+        while left[size] and used < shards - 1 and size * (shards - used) > total:
+            runs.append((size, runs[-1][1] + 1 if runs and runs[-1][0] == size else 0, 1, used))
+            left[size], total, used = left[size] - 1, total - size, used + 1
+        if left[size]:
+            break
+    alone = {size: sum(r[0] == size for r in runs) for size in {r[0] for r in runs}}
+    rest = [(size, n) for size, n in left.items() if n]
+    fair = -(-total // (shards - used))
     for k in range(60):
-        done = best_fit_decreasing(classes, fair + int(fair * 2.0**k / 65536) + (k > 0), shards)
+        done = best_fit_decreasing(rest, fair + int(fair * 2.0**k / 65536) + (k > 0), shards - used)
         if done:
-            return done[0]
+            return runs + [(s, first + alone.get(s, 0), n, b + used) for s, first, n, b in done[0]]
     raise AssertionError("no capacity holds the items")
 
 
@@ -141,14 +157,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     (null: the law is not ``key``), one row per row of ``docs``.
 
     A group is all rows with one text; null and empty texts are one group of size
-    ``overhead`` a row.  A group above an eighth of a shard can't stay whole and
-    keep sizes equal: it is cut into pieces of at most a 64th of a shard, which
-    are packed one by one (at most 8 * ``shards`` groups can be so large).
-    Repeated rows and null ids are rows like any other.  An empty table gives none.
-
-    The plan is made on the driver from a histogram of unit sizes, which has a
-    fixed bound (see PRECISION): units of one class are interchangeable, so a
-    unit's rank in its class says which run, and so which shard, it is in.
+    ``overhead`` a row.  Groups are never divided: one above an even share has a shard of its own,
+    and the other shards are equal among themselves.  Repeated rows and null ids are
+    rows like any other.  An empty table gives none.
+
+    The plan is made on the driver from a histogram of group sizes, which has a
+    fixed bound (see PRECISION): groups of one class are interchangeable, so a
+    group's rank in its class says which run, and so which shard, it is in.  Groups of more
+    than 1 in HOT of the rows, HOT groups at most, find their rows by broadcast.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = cut(
@@ -160,31 +176,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         )
     )
     spark = docs.sparkSession
-    total = base.agg(F.sum("size")).first()[0] or 0
-    whole = max(1, total // shards)
-    groups = base.groupBy("g", "size").agg(F.count(F.lit(1)).alias("n"))
-    large = groups.where(F.col("n") * F.col("size") > whole).where("n > 1").select("g", "size").collect()
-    if large:
-        cuts = spark.createDataFrame([(bytes(r.g), max(1, whole // (8 * r.size))) for r in large], "g binary, per long")
-        marked = base.join(F.broadcast(cuts), "g", "left")
-        split = cut(marked.where("per is not null"))
-        pieces = gapless_rank(split, ["g"], ["doc_id"], "__rank").withColumn("piece", F.floor(F.col("__rank") / F.col("per")).cast("long"))
-        base = cut(marked.where("per is null").withColumn("piece", F.lit(0).cast("long")).unionByName(pieces.drop("__rank")).drop("per"))
-    else:
-        base = base.withColumn("piece", F.lit(0).cast("long"))
-    unit_size = F.sum("size")
-    units = base.groupBy("g", "piece").agg(unit_size.alias("unit"))
+    units = base.groupBy("g").agg(F.sum("size").alias("unit"), F.count(F.lit(1)).alias("n"))
     step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest("unit", F.lit(1)))) - PRECISION)).cast("long")
     units = cut(units.withColumn("class", (F.ceil(F.col("unit") / step) * step).cast("long")))
-    classes = [(r[0], r[1]) for r in units.groupBy("class").count().collect()]
-    runs = plan_shards(classes, shards) if classes else []
+    histogram = units.groupBy("class").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("rows")).collect()
+    runs = plan_shards([(r["class"], r["units"]) for r in histogram], shards) if histogram else []
     plan = spark.createDataFrame([(s, a, a + n, b) for s, a, n, b in runs], "class long, first long, last long, shard int")
-    placed = gapless_rank(units, ["class"], ["g", "piece"], "__rank").alias("u").join(
+    placed = cut(gapless_rank(units, ["class"], ["g"], "__rank").alias("u").join(
         F.broadcast(plan.alias("p")),
         (F.col("u.class") == F.col("p.class")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("last")),
-    ).select("g", "piece", "shard")
-    dealt = cut(base.join(placed, ["g", "piece"]).drop("g", "piece"))
-    slotted = gapless_rank(dealt, ["shard"], ["doc_id", "text_crc32"], "slot")
+    ).select("g", "n", "shard"))
+    hot = F.broadcast(placed.where(F.col("n") * HOT > sum(r["rows"] for r in histogram)).select("g", "shard"))
+    dealt = base.join(hot, "g", "left_anti").join(placed.select("g", "shard"), "g").unionByName(base.join(hot, "g"))
+    slotted = gapless_rank(cut(dealt.drop("g")), ["shard"], ["doc_id", "text_crc32"], "slot")
     return slotted.select(
         F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
