@@ -15,6 +15,8 @@ from .common import cut, documents
 #: Rows of a block in the flight phase; a block leaves at most two rows undecided.
 BLOCK = 2048
 EDGE = 1e-9
+#: Sources whose table is broadcast; more of them are joined.
+STRATA = 100_000
 
 
 def word_targets(sizes: dict, weights: tuple = (5, 2, 1), most: int = 3) -> dict:
@@ -87,25 +89,31 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def flown_block(seed: int, level: int, last: bool):
     def fly(key, rows):
-        rows = rows.sort_values(["size", "id"], ascending=[False, True], na_position="last", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "id", "copy"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
         name = f"{seed}/{level}/{'/'.join(str(int(k)) for k in key)}"
         draw = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(name))).random
         size = rows["size"].to_numpy()
         p = flight(size, rows["p"].to_numpy(), draw)
-        return rows.assign(p=landing(size, p) if last else p)
+        return rows.assign(p=landing(size, p) if last else p).drop(columns="block")
 
     return fly
 
 
+def by_stratum(df: DataFrame, table: list[tuple], schema: str) -> DataFrame:
+    """``df`` with the columns of ``table``, a row for each stratum ``s``; broadcast up to STRATA rows."""
+    made = df.sparkSession.createDataFrame(table, schema)
+    return df.join(F.broadcast(made) if len(table) <= STRATA else made, "s")
+
+
 def balanced_sample(df: DataFrame, counts: dict[int, int], seed: int = 0) -> DataFrame:
-    """Decide column ``p`` of (id, s, size, p) to 0 or 1, by stratum ``s``.
+    """Decide column ``p`` of (id, copy, s, size, p) to 0 or 1, by stratum ``s``; ``copy`` tells equal rows apart.
 
     ``counts`` has each stratum's rows.  Flights run in blocks of about BLOCK rows,
-    dealt by a hash of the id; the two rows that each leaves undecided are gathered in
+    dealt by a hash of the row; the two rows that each leaves undecided are gathered in
     blocks again until one block a stratum is left, which lands.  No task ever has
     more than a block.  Draws depend on the seed, stratum and block alone.
     """
-    schema = "id long, s int, size long, p double"
+    schema = "id long, copy long, s int, size long, p double"
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
     blocks = {s: max(1, -(-n // BLOCK)) for s, n in counts.items()}
     done = df.where(~undecided)
@@ -113,10 +121,9 @@ def balanced_sample(df: DataFrame, counts: dict[int, int], seed: int = 0) -> Dat
     level = 0
     while blocks:
         last = all(n == 1 for n in blocks.values())
-
-        n = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])[F.col("s")]
-        key = F.pmod(F.xxhash64("id", "size", F.lit(level)), n).cast("int").alias("block")
-        flown = cut(todo.groupBy("s", key).applyInPandas(flown_block(seed, level, last), schema))
+        dealt = by_stratum(todo, sorted(blocks.items()), "s int, blocks long")
+        key = F.pmod(F.xxhash64("id", "size", "copy", F.lit(level)), F.col("blocks")).alias("block")
+        flown = cut(dealt.select("id", "copy", "s", "size", "p", key).groupBy("s", "block").applyInPandas(flown_block(seed, level, last), schema))
         done = done.unionByName(flown.where(~undecided))
         todo = flown.where(undecided)
         if last:
@@ -126,6 +133,14 @@ def balanced_sample(df: DataFrame, counts: dict[int, int], seed: int = 0) -> Dat
     return done
 
 
+def each_copy(counted: DataFrame) -> DataFrame:
+    """A row with ``copy`` from 0 for each of column n; many copies are dealt to several tasks in runs of BLOCK."""
+    some = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+    first = F.col("__run") * BLOCK
+    dealt = some.repartition("id", "__run")
+    return dealt.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1))).drop("__run", "n")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
@@ -139,7 +154,8 @@ def mix_sources(
 
     Size is the number of words; null and empty texts have size 0 and take nothing.
     A null source is a source of its own, the last.  Rows with equal ids are
-    separate rows.  The table of sources is small and goes to the driver.
+    separate rows; rows equal in id, source and size are counted, and dealt to blocks
+    one by one.  The table of sources goes to the driver, which reshares targets among them.
     """
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")))
@@ -149,13 +165,13 @@ def mix_sources(
     for i, s in enumerate(target):
         ratio = target[s] / totals[s][0] if totals[s][0] else Fraction(0)
         rows.append((i, s, totals[s][0], float(target[s]), int(ratio), float(ratio - int(ratio))))
-    spark = docs.sparkSession
-    strata = F.broadcast(spark.createDataFrame(rows, "s int, source string, source_size long, target double, times int, part double"))
-    part = sized.join(strata.select("s", "source", "part"), sized["source"].eqNullSafe(strata["source"]))
-    units = part.select("id", "s", "size", F.col("part").alias("p"))
-    chosen = balanced_sample(units, {i: totals[s][1] for i, s, *_ in rows if rows[i][5]}, seed)
+    counted = sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    table = docs.sparkSession.createDataFrame([(i, s, part) for i, s, *_, part in rows], "s int, of string, p double")
+    named = counted.join(F.broadcast(table) if len(rows) <= STRATA else table, F.col("source").eqNullSafe(F.col("of")))
+    units = each_copy(named.select("id", "s", "size", "p", "n"))
+    chosen = balanced_sample(units, {i: totals[s][1] for i, s, *_, part in rows if part}, seed)
     return (
-        chosen.join(strata, "s")
+        by_stratum(chosen, [r[:5] for r in rows], "s int, source string, source_size long, target double, times int")
         .select(
             F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
             (F.col("times") + F.col("p").cast("int")).alias("times"),

@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,12 +137,26 @@ def test_shards_keep_groups_and_sizes(spark):
     assert max(total) <= 1.05 * sum(total) / 8
 
 
-def test_a_group_above_a_shard_is_cut(spark):
-    rows = sharding.shard_documents(docs(spark, ["same text"] * 300 + ["other"] * 20), shards=8).collect()
-    size = {}
+def test_a_group_above_a_shard_stays_whole(spark):
+    texts = ["same text"] * 300 + [f"other {i:03}" for i in range(210)] + ["big " * 9] * 40
+    rows = sharding.shard_documents(docs(spark, texts), shards=8).collect()
+    size, held = {}, {}
     for r in rows:
         size[r.shard] = size.get(r.shard, 0) + r.size
-    assert max(size.values()) <= 1.2 * sum(size.values()) / 8
+        held.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(rows) == len(texts) and all(len(v) == 1 for v in held.values())
+    small = [n for s, n in size.items() if s not in held["same text"] | held["big " * 9]]
+    assert len(small) == 6 and max(small) <= 1.05 * sum(small) / 6 and size[min(held["same text"])] == 300 * 25
+
+
+def test_shards_with_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (5, "b"), (5, "b"), (5, "c"), (None, None)] * 30
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 180 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({(r.text_crc32, r.shard) for r in got}) == 4
 
 
 def test_shard_empty_table(spark):
@@ -185,3 +200,20 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     again = {x.doc_id: x.taken for x in mixing.mix_sources(df.repartition(7)).collect()}
     assert again == {x.doc_id: x.taken for x in rows}
     assert mixing.mix_sources(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(None, "w " * 7, "a")] * 2000 + [(i, "w " * 9, "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = df.groupBy("doc_id").count().where("doc_id is null").select(F.col("doc_id").alias("id"), F.lit(0).alias("s"), F.lit(7).cast("long").alias("size"), F.lit(0.5).alias("p"), F.col("count").alias("n"))
+    units = mixing.each_copy(counted)
+    assert sorted(r["copy"] for r in units.collect()) == list(range(2000))
+    sizes = units.groupBy(F.pmod(F.xxhash64("id", "size", "copy", F.lit(0)), F.lit(32))).count().collect()
+    assert len(sizes) == 32 and max(r["count"] for r in sizes) < 130
+    got = mixing.mix_sources(df).collect()
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert len(got) == 2500 and sorted(map(key, got)) == sorted(map(key, again))
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 9
