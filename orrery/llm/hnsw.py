@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,13 @@ from .common import U64, cut, mix64
 #: Neighbours of a node on upper levels and on the ground, and the widths of searches.
 LINKS, GROUND_LINKS = 12, 24
 BUILD_WIDTH, SEARCH_WIDTH = 64, 96
-#: Distinct vectors of a shard, queries of a block, and nodes searched for at once.
-SHARD_ROWS, QUERY_ROWS, BATCH = 4096, 512, 256
+#: Distinct vectors of a shard, queries that a task holds, and nodes searched for at once.
+SHARD_ROWS, QUERY_ROWS, BATCH = 16384, 65536, 256
 EXPAND = 4
+#: Cells at most, rows and bytes of the sample their centres are fitted on, and cells that a query visits first.
+CELLS, SAMPLE_ROWS, SAMPLE_BYTES, FIRST = 256, 8192, 32 << 20, 4
+#: What rounding may add to an angle.
+SLACK = 1e-5
 
 
 def node_levels(names: np.ndarray) -> np.ndarray:
@@ -168,16 +173,41 @@ def search(x: np.ndarray, graph: list, q: np.ndarray, width: int = SEARCH_WIDTH)
     return np.vstack(out)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, divided by the power of two that brings their largest component below 1:
+    exact, so cosines are those of the rows, and no square is too large or small."""
+    x = x.astype(float)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True))).astype(np.float32)
+    x = scaled(x)
+    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of rows in double precision."""
-    a, b = a.astype(float), b.astype(float)
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def fit_centres(x: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
+    """Centres of ``cells`` cells by spherical k-means on unit rows, from evenly spaced rows."""
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        for c in range(len(centres)):
+            total = x[own == c].sum(axis=0)
+            size = np.sqrt((total**2).sum())
+            if size > 0:
+                centres[c] = total / size
+    return centres
+
+
+def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x.astype(float) @ centres.T.astype(float), -1, 1))
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows whose vector has only finite components, not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -187,21 +217,84 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-INDEX = "shard int, n int, dim int, ids binary, vectors binary, counts binary, levels binary, links binary"
+INDEX = "dim int, cell int, sub int, n int, ids binary, vectors binary, counts binary, levels binary, links binary"
+
 
+class Cells:
+    """The cells of vectors by length: centres, and of each cell the largest angle of a member
+    and its number of shards.  At most CELLS a length, so small enough for every task."""
 
-def build_index(rows: DataFrame, keep: int) -> DataFrame:
-    """The index of (id, v): a row per shard with its vectors and flat neighbour arrays.
+    def __init__(self, centres: dict[int, np.ndarray]) -> None:
+        self.centres, self.wide, self.shards = centres, {}, {}
+
+    def place(self, dim: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each unit row, and its angle to the centre."""
+        if dim not in self.centres:
+            return np.zeros(len(x), int), np.full(len(x), np.pi)
+        away = angles(x, self.centres[dim])
+        cell = away.argmin(axis=1)
+        return cell, away[np.arange(len(x)), cell]
+
+    def visits(self, dim: int, x: np.ndarray, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the FIRST nearest cells of each unit row; with ``worst``, the angle of each row's last
+        neighbour so far, the other cells that may hold a nearer one."""
+        cells = np.array(sorted(c for d, c in self.wide if d == dim), int)
+        away = angles(x, self.centres[dim][cells]) if dim in self.centres else np.zeros((len(x), len(cells)))
+        near = np.argsort(away, axis=1, kind="stable")
+        rank = np.empty_like(near)
+        np.put_along_axis(rank, near, np.arange(len(cells))[None, :], axis=1)
+        if worst is None:
+            row, at = np.nonzero(rank < FIRST)
+        else:
+            wide = np.array([self.wide[dim, c] for c in cells.tolist()])
+            row, at = np.nonzero((rank >= FIRST) & (away - wide[None, :] <= worst[:, None] + SLACK))
+        return row, cells[at]
+
+
+def by_length(rows: list) -> dict[int, np.ndarray]:
+    """Positions of the rows of each length."""
+    found: dict[int, list] = {}
+    for i, v in enumerate(rows):
+        found.setdefault(len(v), []).append(i)
+    return {d: np.array(i) for d, i in found.items()}
+
+
+def build_index(rows: DataFrame, keep: int) -> tuple[DataFrame, Cells]:
+    """The index of (id, v): a row per shard with its vectors and flat neighbour arrays, and the cells.
 
     Equal vectors are one node, which names its ``keep`` smallest ids: a search for
-    fewer than ``keep`` neighbours can return no others.  Shards hold about
-    SHARD_ROWS nodes of one dimension, dealt by a hash of the vector.
+    fewer than ``keep`` neighbours can return no others.  Centres of cells are fitted on a sample of at most
+    SAMPLE_ROWS vectors, by a hash; every vector is indexed in the cell of its nearest centre.  A
+    cell of more than SHARD_ROWS nodes is several shards, by a hash of the vector.
     """
     equal = Window.partitionBy("v").orderBy("id")
     named = rows.withColumn("__r", F.row_number().over(equal)).where(F.col("__r") <= keep).drop("__r")
     nodes = cut(named.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
+    number = nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
+    centres, scale = {}, 1 << 30
+    for r in number:
+        cells = min(CELLS, -(-r.n // SHARD_ROWS))
+        most = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * r.dim))
+        if cells > 1:
+            drawn = F.pmod(F.xxhash64("v", F.lit("sample")), F.lit(scale))
+            some = nodes.where((F.size("v") == r.dim) & (drawn < int(scale * min(1.0, most / r.n)))).select("v").orderBy(F.xxhash64("v"), "v").limit(2 * most).collect()
+            if some:
+                centres[r.dim] = fit_centres(unit(np.array([x.v for x in some])), cells)
+    cells = Cells(centres)
+
+    def place(batches):
+        for batch in batches:
+            vectors = batch.column("v").to_pylist()
+            cell, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            for dim, at in by_length(vectors).items():
+                cell[at], away[at] = cells.place(dim, unit(np.array([vectors[i] for i in at])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=["v", "ids", "cell", "away"])
+
+    placed = cut(nodes.mapInArrow(place, "v array<double>, ids array<long>, cell int, away double").withColumn("dim", F.size("v")))
+    for r in placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("wide")).collect():
+        cells.wide[r.dim, r.cell], cells.shards[r.dim, r.cell] = r.wide, -(-r.n // SHARD_ROWS)
+    sub = F.pmod(F.xxhash64("v"), per_cell(cells.shards)).cast("int")
+    dealt = placed.select("v", "ids", "dim", "cell", sub.alias("sub"))
 
     def make(key, rows):
         rows = rows.assign(__i=[x[0] for x in rows["ids"]]).sort_values("__i", kind="stable")
@@ -212,13 +305,21 @@ def build_index(rows: DataFrame, keep: int) -> DataFrame:
         levels = np.concatenate([np.r_[len(nodes), nodes, links.shape[1]] for nodes, links in graph]).astype("<i4")
         return pd.DataFrame(
             {
-                "shard": [int(key[0])], "n": [len(x)], "dim": [x.shape[1]], "ids": [np.concatenate(ids).astype("<i8").tobytes()],
+                "dim": [int(key[0])], "cell": [int(key[1])], "sub": [int(key[2])], "n": [len(x)], "ids": [np.concatenate(ids).astype("<i8").tobytes()],
                 "vectors": [original.astype("<f8").tobytes()], "counts": [np.array([len(i) for i in ids], "<i4").tobytes()],
                 "levels": [levels.tobytes()], "links": [flat.tobytes()],
             }
         )
 
-    return cut(dealt.groupBy("shard", "dim").applyInPandas(make, INDEX))
+    return cut(dealt.groupBy("dim", "cell", "sub").applyInPandas(make, INDEX)), cells
+
+
+def per_cell(numbers: dict[tuple[int, int], int]):
+    """The number of a row's (dim, cell), 1 where there is none."""
+    if not numbers:
+        return F.lit(1)
+    table = F.create_map(*[x for (d, c), n in sorted(numbers.items()) for x in (F.lit(f"{d}/{c}"), F.lit(n))])
+    return F.coalesce(F.try_element_at(table, F.concat_ws("/", "dim", "cell")), F.lit(1))
 
 
 def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -235,20 +336,39 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<i4"), vectors, graph
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query (id, v), itself left out.
+def routed(queries: DataFrame, cells: Cells, worst: bool) -> DataFrame:
+    """(id, v, dim, cell) of the cells that queries (id, v) visit first, or with ``worst`` then."""
+
+    def route(batches):
+        for batch in batches:
+            vectors = batch.column("v").to_pylist()
+            last = batch.column("worst").to_numpy(zero_copy_only=False) if worst else None
+            rows, found = [], []
+            for dim, at in by_length(vectors).items():
+                row, cell = cells.visits(dim, unit(np.array([vectors[i] for i in at])), last[at] if worst else None)
+                rows.append(at[row])
+                found.append(cell)
+            at = np.concatenate(rows) if rows else np.zeros(0, int)
+            cell = np.concatenate(found) if rows else np.zeros(0, int)
+            part = batch.select(["id", "v"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
+
+    return queries.mapInArrow(route, "id long, v array<double>, cell int").withColumn("dim", F.size("v"))
 
-    Every block of QUERY_ROWS queries meets every shard in a task of its own, which scores what
-    the graph finds exactly and keeps k; the k best of all shards stay, ties to the smaller id.
+
+def meet(visits: DataFrame, index: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each shard that a query visits, scored exactly.
+
+    A task has one shard and at most about QUERY_ROWS of its queries; an index goes out once for so many.
     """
-    number = queries.count()
-    blocks = max(1, -(-number // QUERY_ROWS))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
-    shards = index.select(F.col("shard").alias("at"), F.col("dim").alias("of"))
-    left = asked.join(shards, F.col("dim") == F.col("of")).select("id", "v", "at", "of", "block").groupBy("at", "of", "block")
-    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "dim", "block")
-
-    def meet(asked, index):
+    visits = cut(visits)
+    number = {(r.dim, r.cell): r.n for r in visits.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = per_cell({at: -(-n // QUERY_ROWS) for at, n in number.items()})
+    left = visits.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), per_cell(cells.shards) - 1)))
+    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    by = ["dim", "cell", "sub", "block"]
+
+    def ask(asked, index):
         out = []
         if len(asked) and len(index):
             ids, counts, vectors, graph = unpack(index.iloc[0])
@@ -270,9 +390,32 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             out = [names[q[best]], own[best], score[best]]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)])))
 
-    met = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(ask, "query_id long, vec_id long, score double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all shards, ties to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_index(index: DataFrame, cells: Cells, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each query (id, v), itself left out.
+
+    A query visits the FIRST cells with the nearest centres, and then every other cell that may hold a
+    vector nearer than the last of its k so far: one whose centre is no further away than that
+    vector's angle and the cell's largest.  So routing loses nothing that a visit to all would find.
+    """
+    queries = cut(queries)
+    found = meet(routed(queries, cells, False), index, cells, k)
+    dims = [d for d, _ in cells.wide]
+    if any(dims.count(d) > FIRST for d in set(dims)):
+        found = cut(best_of(found, k).drop("rank"))
+        last = found.groupBy("query_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        angle = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))), F.lit(4.0))
+        rest = queries.join(last.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", angle.alias("worst"))
+        found = found.unionByName(meet(routed(rest, cells, True), index, cells, k)).distinct()
+    return best_of(found, k)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -282,8 +425,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     nor do null ids.  Vectors are compared with those of their own length only.  Ids are
     taken to be unique; of rows repeated in full one is returned for each.
     """
-    index = build_index(usable(rows, id_col, vector_col), k + 1)
-    return search_index(index, usable(queries, id_col, vector_col), k)
+    index, cells = build_index(usable(rows, id_col, vector_col), k + 1)
+    return search_index(index, cells, usable(queries, id_col, vector_col), k)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force; the pipeline's stages."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -37,6 +38,45 @@ def test_nearest_with_odd_vectors(spark):
     assert {r.query_id for r in got} == {int(i) for i in ids if i % 50 == 0}
 
 
+def true_nearest(ids, x, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[i]
+        s[i] = -np.inf
+        out[int(ids[i])] = set(ids[np.lexsort((ids, -s))[:k]].tolist())
+    return out
+
+
+@pytest.mark.parametrize(("spread", "first", "rows"), [(0.05, 2, 100), (0.05, 4, 100), (3.0, 2, 100), (3.0, 2, 16384)])
+def test_nearest_over_many_shards(spark, monkeypatch, spread, first, rows):
+    """Near groups and spread ones; cells of several shards; queries that must visit further cells."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", rows)
+    monkeypatch.setattr(hnsw, "CELLS", 7)
+    monkeypatch.setattr(hnsw, "FIRST", first)
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 9)
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(12, 8))
+    x = (centre[r.integers(0, 12, 1500)] + spread * r.normal(size=(1500, 8))).astype(np.float32)
+    ids = r.permutation(1500)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = hnsw.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    found = {}
+    for row in got:
+        found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    want = true_nearest(ids, x.astype(float))
+    assert set(found) == set(want) and all([a for a, *_ in sorted(v)] == [1, 2, 3, 4, 5] for v in found.values())
+    assert np.mean([len({b for _, b, _ in found[q]} & want[q]) / 5 for q in want]) >= 0.98
+
+
+def test_nearest_of_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2.1e-200]), (2, [1e-310, 0.0]), (3, [3.0, 1.0]), (50, [1.0, 2.0]), (50, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id = 0")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])][:3] in ([50, 50, 1], [50, 1, 3])
+    assert all(0 < r.score <= 1.0000001 for r in got)
+
+
 def test_nearest_of_empty_and_tiny_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in hnsw.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1)]
