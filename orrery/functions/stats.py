@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import avg_rank, running_total
+from .ordering import avg_rank, quantiles, running_total
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -30,13 +30,11 @@ def top_other(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, q25, q50, q75, max), quantiles interpolated; one pass."""
-    parts = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = df.select(parts).groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max")
-    )
-    return agg.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """(column, count, mean, std, min, q25, q50, q75, max), quantiles interpolated."""
+    parts = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])))
+    agg = parts.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    both = agg.join(quantiles(parts, "x", [0.25, 0.5, 0.75], ["column"]), "column", "left")
+    return both.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -85,11 +83,9 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> D
     """Area under the ROC curve from average ranks (Mann-Whitney), by group; null without both labels."""
     by = by or []
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
-    if by:
-        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        upto = running_total(counts, [F.col(score)], "n", "upto")
+    upto = running_total(counts, [F.col(c) for c in [*by, score]], "n", "upto")  # over all groups: each begins at its end less its rows
     ranks = F.sum(F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2))
-    out = upto.groupBy(*by).agg(ranks.alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
+    out = upto.groupBy(*by).agg(ranks.alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"), F.max("upto").alias("end"))
     p, q = F.col("p"), F.col("t") - F.col("p")
+    out = out.withColumn("r", F.col("r") - p * (F.col("end") - F.col("t")))
     return out.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"))

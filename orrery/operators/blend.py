@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import avg_rank, pct_rank, top_n_cut
+from ..functions.ordering import avg_rank, pct_rank, quantiles, top_n_cut
 from ..functions.stats import spearman
 
 
@@ -31,10 +31,10 @@ def probability_blend(df: DataFrame, columns: list[str], weights: list[float], n
 def disagreement(df: DataFrame, a: str, b: str, limit: float = 0.5) -> DataFrame:
     """One row: Spearman, median, 90 and 99 % quantiles of both, and the rows whose percentile ranks differ by more than ``limit``."""
     both = pct_rank(pct_rank(df.select(a, b), a, "ra"), b, "rb")
-    q = lambda c: F.percentile(c, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    agg = both.agg(q(a).alias("qa"), q(b).alias("qb"), F.sum((F.abs(F.col("ra") - F.col("rb")) > limit).cast("long")).alias("strong"), F.avg((F.abs(F.col("ra") - F.col("rb")) > limit).cast("double")).alias("strong_share"))
+    q = lambda c, name: F.broadcast(quantiles(df, c, [0.5, 0.9, 0.99]).withColumnRenamed("q", name))
+    agg = both.agg(F.sum((F.abs(F.col("ra") - F.col("rb")) > limit).cast("long")).alias("strong"), F.avg((F.abs(F.col("ra") - F.col("rb")) > limit).cast("double")).alias("strong_share"))
     cells = [F.col(f"q{x}")[i].alias(f"{x}_{n}") for x in "ab" for i, n in enumerate(("q50", "q90", "q99"))]
-    return agg.crossJoin(spearman(df, a, b)).select("spearman", *cells, "strong", "strong_share")
+    return agg.join(q(a, "qa"), F.lit(True), "left").join(q(b, "qb"), F.lit(True), "left").crossJoin(spearman(df, a, b)).select("spearman", *cells, "strong", "strong_share")
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -42,26 +42,37 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return agg.select("triangles", "triples", F.when(F.col("triples") > 0, 3.0 * F.col("triangles") / F.col("triples")).otherwise(0.0).alias("transitivity"), "avg_clustering")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, component): the smallest id reachable over (a, b).
+def stars(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours linked with the smallest of the node and its neighbours;
+    of (a, b) with a > b, once each."""
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select("b", "b"))
+    least = ends.groupBy(F.col("id").alias("b")).agg(F.min("other").alias("low"))
+    return edges.join(least, "b").select("a", F.col("low").alias("b")).distinct()
 
-    Nodes keep a parent.  In a round a node hears its neighbours' smallest grandparent; it and
-    its parent hook on to that where it is smaller, and paths are halved, so rounds grow
-    with the logarithm of a component's size.
+
+def small_stars(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours linked with the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    more = edges.join(least.where("low < high").select("a", "low"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return least.select("a", F.col("low").alias("b")).unionAll(more).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable over (a, b); ends of loops are their own.
+
+    Rounds turn neighbourhoods into stars around their smallest node (large-star and small-star
+    steps), so edges shrink to one a node; they end where the edges no longer change.
     """
-    both = cut(symmetric(edges).toDF("id", "other"))
-    nodes = cut(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
-    for _ in range(rounds):
-        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("top"))
-        nodes = nodes.join(above, "up").select("id", "up", "top")
-        heard = both.join(nodes.select(F.col("id").alias("other"), "top"), "other").groupBy("id").agg(F.min("top").alias("m"))
-        known = nodes.join(heard, "id").select("id", "up", F.least("top", "m").alias("new"))
-        moved = known.select("id", "new", F.col("up").alias("old")).unionAll(known.select(F.col("up").alias("id"), "new", F.lit(None).cast("long").alias("old")))
-        state = cut(moved.groupBy("id").agg(F.min("new").alias("up"), F.max("old").alias("old")))
-        nodes = state.select("id", "up")
-        if not state.where("up <> old").limit(1).count():
-            return nodes.withColumnRenamed("up", "component")
-    raise AssertionError("components did not settle")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    apart = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, before = cut(small_stars(cut(apart))), None
+    while True:
+        now = cut(small_stars(cut(stars(now))))
+        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if seen == before:
+            break
+        before = seen
+    return nodes.join(now.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def short_path(pairs: DataFrame, sym: DataFrame, hide: bool = False, exact: bool = False) -> DataFrame:
@@ -80,6 +91,9 @@ def short_path(pairs: DataFrame, sym: DataFrame, hide: bool = False, exact: bool
         nu, nv = nu.where("x <> v"), nv.where("y <> u")
     nu, nv = nu.select("pair_id", "x"), nv.select("pair_id", "y")
     two = nu.join(nv, (nu["pair_id"] == nv["pair_id"]) & (F.col("x") == F.col("y"))).select(nu["pair_id"], F.lit(2).alias("d"))
+    near = two if hide else two.unionAll(one)
+    settled = cut(near.select("pair_id").unionAll(base.where("u = v").select("pair_id")).distinct())
+    nu, nv = nu.join(settled, "pair_id", "left_anti"), nv.join(settled, "pair_id", "left_anti")
     next_ = nu.join(sym.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x").select("pair_id", "y").distinct()
     three = next_.join(nv, ["pair_id", "y"]).select("pair_id", F.lit(3 if exact else 4).alias("d"))
     found = ([] if hide else [one]) + [two, three]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import row_numbers
-from ..session import cut, cut_fresh
+from ..functions.ordering import quantiles, row_numbers
+from ..session import cut
 from .cohesion import components
 from .graph import degrees, symmetric
 
@@ -49,7 +49,9 @@ def conductance(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def partition_sizes(labels: DataFrame) -> DataFrame:
     """One row: communities, largest, median and single ones."""
     sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.median("n").alias("median_size"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"))
+    one = sizes.agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"))
+    middle = F.broadcast(quantiles(sizes, "n", [0.5]))
+    return one.join(middle, F.lit(True), "left").select("communities", "largest", F.col("q")[0].alias("median_size"), "singletons")
 
 
 def profile(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,7 +59,9 @@ def profile(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     named = nodes.join(labels, "id")
     lang = named.groupBy("community", "language").agg(F.count(F.lit(1)).alias("n"))
     top = lang.groupBy("community").agg(F.min_by("language", F.struct(-F.col("n"), F.col("language"))).alias("dominant_language"), F.max("n").alias("most"))
-    rest = named.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.avg("affiliate").alias("affiliate_rate"), F.median("views").cast("long").alias("median_views"))
+    rest = named.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.avg("affiliate").alias("affiliate_rate"))
+    middle = quantiles(named, "views", [0.5], ["community"]).select("community", F.col("q")[0].cast("long").alias("median_views"))
+    rest = rest.join(middle, "community", "left")
     return rest.join(top, "community").select("community", "size", "dominant_language", (F.col("most") / F.col("size")).alias("language_purity"), "affiliate_rate", "median_views")
 
 
@@ -133,7 +137,7 @@ def local_moving(w: DataFrame, seed: int, rounds: int | None = None, least: floa
         gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)) / m2
         choice = option.withColumn("gain", F.round(gain, 9)).groupBy("id", "own").agg(F.max_by("community", F.struct("gain", home.cast("int"), -F.col("community"))).alias("new"))
         active = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(2)) == 0
-        labels = cut_fresh(choice.select("id", F.when(active, F.col("new")).otherwise(F.col("own")).alias("community")))
+        labels = cut(choice.select("id", F.when(active, F.col("new")).otherwise(F.col("own")).alias("community")))
         q = weighted_modularity(w, labels)
         stalled = 0 if q > best_q + least else stalled + 1
         if q > best_q:
@@ -157,15 +161,15 @@ def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine:
             inside = w.where("src < dst").join(s, "src").join(d, "dst").where("c_src = c_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
             part = components(inside)
             moved = moved.select("id").join(part, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
-        members = cut_fresh(members.join(moved.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")))
+        members = cut(members.join(moved.withColumnRenamed("id", "node"), "node").select("id", F.col("community").alias("node")))
         n = members.select("node").distinct().count()
         if n == last:
             break
         last = n
         s, d = (moved.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}")) for c in ("src", "dst"))
-        w = cut_fresh(w.join(s, "src").join(d, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
-    name = Window.partitionBy("node")
-    return members.select("id", F.min("id").over(name).alias("community"))
+        w = cut(w.join(s, "src").join(d, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
+    name = members.groupBy("node").agg(F.min("id").alias("community"))
+    return members.join(name, "node").select("id", "community")
 
 
 def leiden(edges: DataFrame, seed: int = 42, levels: int | None = None, rounds: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.ordering import avg_rank as add_avg_rank
 from ..functions.ordering import pct_rank as add_pct_rank
+from ..functions.ordering import quantiles as exact_quantiles
 from ..functions.ordering import top_n_cut
 from ..operators import blend, cohesion, graph
 from .registry import query
@@ -117,7 +118,8 @@ def describe_numeric(t):
 
 @query("SELECT round(quantile_cont(p1, 0.5), 6) AS p1_q50, round(quantile_cont(p1, 0.9), 6) AS p1_q90, round(quantile_cont(p1, 0.99), 6) AS p1_q99, round(quantile_cont(p2, 0.5), 6) AS p2_q50, round(quantile_cont(p2, 0.9), 6) AS p2_q90, round(quantile_cont(p2, 0.99), 6) AS p2_q99 FROM scores")
 def quantiles(t):
-    return t.scores.agg(*[F.round(F.percentile(p, q), 6).alias(f"{p}_q{n}") for p in ("p1", "p2") for q, n in ((0.5, "50"), (0.9, "90"), (0.99, "99"))])
+    one, two = (exact_quantiles(t.scores, p, [0.5, 0.9, 0.99]).select(*[F.round(F.col("q")[i], 6).alias(f"{p}_q{n}") for i, n in enumerate((50, 90, 99))]) for p in ("p1", "p2"))
+    return one.crossJoin(F.broadcast(two))
 
 
 CLUSTERING = """& d AS MATERIALIZED (SELECT src AS id, count(*) AS degree FROM s_und GROUP BY src),
@@ -143,7 +145,8 @@ def histogram_60_log10(t):
 
 @query("SELECT median(views) AS median_views, median(life_time) AS median_life_time FROM node_attr")
 def exact_median(t):
-    return t.node_attr.agg(F.median("views").alias("median_views"), F.median("life_time").alias("median_life_time"))
+    one, two = (exact_quantiles(t.node_attr, c, [0.5]).select(F.col("q")[0].alias(f"median_{c}")) for c in ("views", "life_time"))
+    return one.crossJoin(F.broadcast(two))
 
 
 CORRELATED = ["degree", "log_views", "life_time", "affiliate", "dead_account", "mature"]

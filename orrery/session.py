@@ -23,18 +23,16 @@ def width(df: DataFrame) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's ``spark.checkpoint.dir`` and cut its lineage.
 
-    A folder of our own is set only where none is named (single-machine runs).
+    A folder of our own is set only where none is named and the master is local (single-machine runs).
+    The size estimate of the old plan goes too: a checkpoint hands it on, and a loop's joins multiply
+    it, so its digits double in a round and planning takes longer than the work.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def cut_fresh(df: DataFrame) -> DataFrame:
-    """``cut`` without the size estimate, which a checkpoint hands on: a loop's joins multiply it, so its
-    digits double in a round and planning takes longer than the work."""
-    spark, done = df.sparkSession, cut(df)
-    frame = done._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
