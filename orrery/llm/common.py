@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a name made from it that no column of ``df`` has."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

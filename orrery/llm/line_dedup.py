@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, documents, lower_ascii
+from .common import LOWER, SPACE, UPPER, documents, fresh, lower_ascii
 
 #: A line that more than 1 in HOT rows have is broadcast.
 HOT = 1024
@@ -15,14 +15,6 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a name made from it that no column of ``df`` has."""
-    there = {c.lower() for c in df.columns}
-    while name.lower() in there:
-        name = f"_{name}"
-    return name
-
-
 def key_hash(key: Column) -> Column:
     """Identity of a key: 64 + 32 bits of two hash families and the key's length."""
     return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"), F.octet_length(key).alias("n"))
