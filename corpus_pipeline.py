@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, shared_folder
+from orrery.llm.common import fresh, shared_folder
 from orrery.llm.jaccard import link_documents
 from orrery.llm.langid import identify
 from orrery.llm.line_dedup import dedup_lines
@@ -29,28 +29,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of its own for each row, __key; written to the shared folder, so it stays the same."""
-    return cut(docs.withColumn("__key", F.monotonically_increasing_id()))
+#: Folders that stages wrote for themselves; run() removes them once the next stage is written.
+OWN: list[str] = []
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for each row, and the key's name; written to the shared folder as
+    compressed Parquet, so the keys stay the same, whatever is read or run again."""
+    key, path = fresh(docs, "key"), f"{shared_folder(docs.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    docs.withColumn(key, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    OWN.append(path)
+    return docs.sparkSession.read.parquet(path), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest row of each group of linked ones, by doc_id (null last), then text; rows
     that share an id or have none are rows of their own."""
-    rows = keyed(docs)
-    group = link_documents(rows, "__key").select(F.col("__key"), F.col("component_id").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text"), F.col("__key"))
-    ranked = rows.select("__key", order.alias("__order"))
-    first = ranked.join(group, "__key").groupBy("__group").agg(F.min_by("__key", "__order").alias("__key")).select("__key")
-    return rows.join(first, "__key", "left_semi").select(*docs.columns)
+    rows, key = keyed(docs)
+    group = link_documents(rows, key).select(F.col(key).alias("key"), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text"), F.col(key))
+    ranked = rows.select(F.col(key).alias("key"), order.alias("order"))
+    first = ranked.join(group, "key").groupBy("group").agg(F.min_by("key", "order").alias(key)).select(key)
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as its source's target takes it, also those that share an id or have none."""
-    rows = keyed(docs)
-    times = mix_sources(rows, id_col="__key").where(F.col("times") > 0).select("__key", F.col("times").alias("__times"))
-    taken = rows.join(times, "__key")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows, key = keyed(docs)
+    often, copy = fresh(rows, "often"), fresh(rows, "copy")
+    times = mix_sources(rows, id_col=key).where(F.col("times") > 0).select(key, F.col("times").alias(often))
+    return rows.join(times, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +90,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
+        for done in [*OWN, *filter(None, [before])]:
+            remove(spark, done)
+        OWN.clear()
         before = path
     packed = STAGES[-1][1](spark, docs, sf_dir)
     remove(spark, before)
