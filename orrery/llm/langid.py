@@ -126,14 +126,17 @@ class CodeModel:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """About ``rows`` labelled rows, as many of each language as far as there are, by a hash of the id."""
+    """About ``rows`` labelled rows, as many of each language as far as there are, by a hash of the id;
+    what a language with few rows leaves goes to the others."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = sorted((r[0], r[1]) for r in labelled.groupBy("lang").count().collect())
     if not counts:
         return labelled.limit(0)
-    each = rows / len(counts)
-    scale = 1 << 30
-    limits = [F.lit(x) for lang, n in counts for x in (lang, min(scale, int(scale * each / n)))]
+    scale, share, left = 1 << 30, {}, rows
+    for k, (lang, n) in enumerate(sorted(counts, key=lambda c: c[1])):
+        share[lang] = min(n, left / (len(counts) - k))
+        left -= share[lang]
+    limits = [F.lit(x) for lang, n in counts for x in (lang, min(scale, int(scale * share[lang] / n)))]
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(scale))
     return labelled.where(drawn < F.create_map(*limits)[F.col("lang")])
 
@@ -155,7 +158,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> CodeModel | None:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.binary(), pa.binary()))], names=names)
 
     sample = training_rows(docs, rows).select("text", "lang").mapInArrow(features, "lang string, at binary, x binary")
-    got = sorted((r.lang, bytes(r.at), bytes(r.x)) for r in sample.limit(2 * rows).collect())
+    bounded = sample.orderBy(F.xxhash64("lang", "at", "x"), "lang", "at", "x").limit(2 * rows)  # ids that repeat may exceed it
+    got = sorted((r.lang, bytes(r.at), bytes(r.x)) for r in bounded.collect())
     if not got:
         return None
     return CodeModel.fit(design([(np.frombuffer(a, np.uint16), np.frombuffer(x, np.float16)) for _, a, x in got]), [lang for lang, _, _ in got])
