@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orrery.llm import hnsw
+from orrery.llm.common import cut
 from orrery.llm.registry import ORACLE_SQL, QUERIES
 
 
@@ -129,7 +130,7 @@ def test_pipeline_keeps_rows_without_an_id_and_with_a_shared_one(spark):
     ids = [None, None, None, 7, 7, 7, 8, 9]
     texts = [text(0), text(1), text(2), text(3), text(4), text(3), text(0), text(5)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    once = corpus_pipeline.near_duplicates(spark, df, None).localCheckpoint()
+    once = cut(corpus_pipeline.near_duplicates(spark, df, None))
     got = sorted(((r.doc_id, r.text) for r in once.collect()), key=str)
     assert got == sorted([(8, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5))], key=str)
     mixed = sorted(((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, once, None).collect()), key=str)

@@ -329,6 +329,50 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def naive_features(text):
+    """Byte n-grams one by one."""
+    out = np.zeros(langid.FEATURES)
+    raw = bytes(langid.TABLE[b] for b in (" " + text.lower() + " ").encode())
+    kept = [b for i, b in enumerate(raw) if i == 0 or not (b == 32 and raw[i - 1] == 32)]
+    total = 0
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            code = 0
+            for b in kept[i : i + n]:
+                code = (code << 8 | b) & 0xFFFFFFFF
+            code = (code + ((n - 1) << 28)) & 0xFFFFFFFF
+            out[(code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.FEATURES.bit_length() + 1)] += 1
+            total += 1
+    return np.sqrt(out / max(1, total))
+
+
+def test_language_features_and_decoding_equal_brute_force(spark):
+    texts, langs = language_texts(3, 120)
+    texts += ["a", "Ünïcode  ... text 日本", "x" * 500]
+    for t in texts[::10] + texts[-3:]:
+        assert np.allclose(langid.featurise(t), naive_features(t))
+    rows = [(np.flatnonzero(f).astype(np.uint16), f[np.flatnonzero(f)]) for f in map(langid.featurise, texts[:120])]
+    model = langid.CodeModel.fit(langid.design(rows), langs)
+    best, share = model.decode(np.stack([langid.featurise(t) for t in texts]))
+    for t, b, p in zip(texts, best, share):
+        margin = [sum(x * w for x, w in zip(langid.featurise(t), model.weights[:-1, k]) if x) + model.weights[-1, k] for k in range(model.code.shape[1])]
+        loss = [sum(model.trust[c, k] * np.log1p(np.exp(-model.code[c, k] * margin[k])) for k in range(len(margin))) for c in range(len(model.languages))]
+        assert b == int(np.argmin(loss)) and abs(p - np.exp(-min(loss)) / sum(np.exp(-x) for x in loss)) < 1e-9
+
+
+def test_language_id_of_many_languages_never_learns_from_held_out_rows(spark):
+    r = random.Random(8)
+    stems = {f"l{k}": ["".join(r.choice(f"{chr(97 + k)}{chr(105 + k)}aeio") for _ in range(4)) for _ in range(12)] for k in range(9)}
+    langs = [r.choice(list(stems)) for _ in range(700)]
+    texts = [" ".join(r.choice(stems[x]) for _ in range(20)) for x in langs]
+    one = langid.identify(docs(spark, texts, langs=langs), ["doc_id"]).collect()
+    held = {x.doc_id for x in one if x.held_out}
+    assert sum(x.lang_pred == langs[x.doc_id] for x in one if x.held_out) / len(held) > 0.95
+    other = [r.choice(list(stems)) if i in held else x for i, x in enumerate(langs)]
+    two = langid.identify(docs(spark, texts, langs=other), ["doc_id"]).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
 def test_language_id_without_labels(spark):
     df = docs(spark, ["some text", None], langs=[None, None])
     assert [r.lang_pred for r in langid.identify(df).collect()] == ["und", "und"]
@@ -370,6 +414,38 @@ def test_quality(spark):
         assert x.kept == (x.doc_id < 300 and not x.base_failed)
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """The log ratio of every document and the verdict, gram by gram, with the threshold on held-out ids."""
+    r = random.Random(6)
+    good = lambda: " ".join(r.choice(["river", "stone", "morning", "quiet", "garden", "letter"]) for _ in range(40))
+    bad = lambda: " ".join(r.choice(["zzx", "qqk", "xxv", "jjq", "kkz"]) + str(r.randint(0, 99)) for _ in range(40))
+    kinds = [r.random() < 0.7 for _ in range(240)]
+    texts = [good() if k else bad() for k in kinds] + [None, "", "a", "tiny text"]
+    labels = [(i, int(k), int(i % 17 == 0)) for i, k in enumerate(kinds[:160])]
+    rows = quality.rate_quality(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = {x.doc_id for x in spark.range(240).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(quality.HELD)) == 0).alias("h")).where("h").collect()}
+
+    def buckets(text):
+        b = text.encode().ljust(quality.GRAM)
+        return [(int.from_bytes(b[i : i + 4], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (33 - quality.BUCKETS.bit_length()) for i in range(len(b) - 3)]
+
+    raw, target = {}, {}
+    trusted = {i for i, q, t in labels if q == 1 and t == 0 and i not in held}
+    for i, t in enumerate(texts):
+        for g in buckets(t) if t else []:
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i in trusted)
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = lambda g: np.log((target.get(g, 0) + 1) / (m + quality.BUCKETS)) - np.log((raw.get(g, 0) + 1) / (n + quality.BUCKETS))
+    want = {i: float(np.mean([ratio(g) for g in buckets(t)])) if t else 0.0 for i, t in enumerate(texts)}
+    assert all(abs(x.llr - want[x.doc_id]) < 1e-9 for x in rows)
+    failed = {x.doc_id for x in rows if x.base_failed}
+    limit = quality.threshold([want[i] for i, q, t in labels if q == 1 and t == 0 and i in held - failed], [want[i] for i, q, t in labels if q == 0 and i in held - failed])
+    assert {x.doc_id for x in rows if x.kept} == {i for i, x in want.items() if i not in failed and x >= limit}
+    unseen = [x for x in rows if 160 <= x.doc_id < 240]
+    assert all(x.kept == kinds[x.doc_id] for x in unseen if not x.base_failed)
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.rate_quality(docs(spark, ["w%d " * 3 + "a b c d e f g h i j k l m n o p q r s t u", "short"]), labels).collect()
