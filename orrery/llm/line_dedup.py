@@ -52,7 +52,8 @@ def dedup_lines(
         .select("row", "at", key_hash(F.col("key")).alias("h"))
         .groupBy("row", "h").agg(F.collect_set("at").alias("at"))
     )
-    number = F.count(F.lit(1)) if min_docs <= 2 else F.count_distinct("row.id")
+    # reads "at", so that both uses of held are one shuffle
+    number = F.sum(F.when(F.size("at") > 0, 1)) if min_docs <= 2 else F.count_distinct(F.when(F.size("at") > 0, F.col("row.id")))
     counted = held.groupBy("h").agg(number.alias("n"), F.min("row.id").alias("first"), F.max("row.id").alias("last"))
     frequent = counted.where((F.col("first") < F.col("last")) & (F.col("n") >= min_docs) if min_docs >= 2 else F.lit(True))
     rows = counted.agg(F.sum("n")).scalar()
