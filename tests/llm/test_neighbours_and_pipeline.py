@@ -1,11 +1,15 @@
 """Nearest neighbours against brute force; the pipeline's stages."""
 
+import random
+
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import hnsw
+from orrery.llm import hnsw, mixing
 from orrery.llm.common import cut
 from orrery.llm.registry import ORACLE_SQL, QUERIES
 
@@ -135,3 +139,52 @@ def test_pipeline_keeps_rows_without_an_id_and_with_a_shared_one(spark):
     assert got == sorted([(8, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5))], key=str)
     mixed = sorted(((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, once, None).collect()), key=str)
     assert mixed == got
+
+
+def test_pipeline_end_to_end_against_brute_force(spark, tmp_path):
+    """Every stage's rows held to a plain computation on what the stage before kept, and run() to the stages."""
+    from test_text_operators import brute_components, brute_lines, language_texts
+
+    r = random.Random(12)
+    texts, langs = language_texts(7, 160)
+    texts = [f"{t} " + " ".join(f"w{i}x{k}" for k in range(30)) for i, t in enumerate(texts)]
+    for i in range(0, 60, 3):
+        words = texts[i].split(" ")
+        words[r.randrange(len(words))] = "edited"
+        texts.append(" ".join(words) if i % 2 else texts[i])
+        langs.append(langs[i])
+    for i in range(0, 160, 8):
+        texts[i] += "\nA footer that many texts hold\n" + f"and a line of its own {i}"
+    texts += ["12345 ...", "", None]
+    langs += ["aa", "bb", None]
+    rows = [(i, t, k, r.choice(["s1", "s2", None]), len(t or "")) for i, (t, k) in enumerate(zip(texts, langs))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.collect()
+    told = {x.doc_id: x.text for x in kept["language_id"]}
+    assert all(texts[i] == t for i, t in told.items()) and not {len(texts) - 3, len(texts) - 2, len(texts) - 1} & set(told) and len(told) > 0.9 * len(texts)
+    ids = sorted(told)
+    lines = {ids[i]: t for i, _, _, t in brute_lines([told[i] for i in ids])}
+    assert {x.doc_id: x.text for x in kept["line_dedup"]} == lines and all(x.n_chars == len(x.text) for x in kept["line_dedup"])
+    firsts = {c for _, _, c in brute_components([lines[i] for i in ids], ids)}
+    once = {x.doc_id: x for x in kept["near_duplicates"]}
+    assert set(once) == firsts and len(once) == len(kept["near_duplicates"]) < len(lines)
+    words = lambda t: len((t or "").split())
+    target = mixing.word_targets({s: sum(words(x.text) for x in once.values() if x.source == s) for s in {x.source for x in once.values()}})
+    for s, want in target.items():
+        taken = sum(words(x.text) for x in kept["source_mix"] if x.source == s)
+        assert abs(taken - want) <= 120 and all(x.text == once[x.doc_id].text for x in kept["source_mix"])
+    encoder = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = sorted((x.doc_id, len(encoder.encode(x.text, add_special_tokens=False).ids) + 1) for x in kept["source_mix"])
+    pieces = {}
+    for x in kept["packing"]:
+        pieces.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert sorted((x.doc_id, x.length) for x in kept["packing"]) == size  # none is longer than a sequence
+    for v in pieces.values():
+        assert [a for a, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 1024
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.doc_id for x in whole.collect()} <= firsts and whole.columns == docs.columns
