@@ -106,26 +106,27 @@ def verdict(value):
     return F.when(value >= 0.5, "strong").when(value >= 0.2, "moderate").otherwise("weak")
 
 
-def weighted_modularity(w: DataFrame, labels: DataFrame) -> float:
-    """Modularity of symmetric weighted (src, dst, w), self-loops counted twice as w on the diagonal."""
+def weighted_modularity(w: DataFrame, labels: DataFrame, copies: int = 1) -> dict[int, float]:
+    """Modularity of symmetric weighted (src, dst, w), self-loops counted twice as w on the diagonal, for each of
+    ``copies`` graphs side by side: a node of the k-th has k as its remainder."""
     s = labels.select(F.col("id").alias("src"), F.col("community").alias("cs"))
     d = labels.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
     by = w.join(s, "src").join(d, "dst").groupBy("cs").agg(F.sum("w").alias("vol"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("inside"))
-    row = by.agg(F.sum("vol").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("vol") * F.col("vol")).alias("v2")).first()
-    return row["i"] / row["m2"] - row["v2"] / row["m2"] ** 2 if row["m2"] else 0.0
+    rows = by.groupBy(F.pmod("cs", F.lit(copies)).alias("run")).agg(F.sum("vol").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("vol") * F.col("vol")).alias("v2")).collect()
+    return {r["run"]: r["i"] / r["m2"] - r["v2"] / r["m2"] ** 2 if r["m2"] else 0.0 for r in rows}
 
 
-def local_moving(w: DataFrame, seed: int, rounds: int | None = None, least: float = 1e-4) -> DataFrame:
+def local_moving(w: DataFrame, seed: int, rounds: int | None = None, least: float = 1e-4, copies: int = 1) -> DataFrame:
     """(id, community): nodes move to the neighbouring community of the largest modularity gain.
 
     All nodes decide at once, so only a hashed half of them moves in a round, and the labels of
     a round are kept only while modularity rises.  Without ``rounds`` it ends where two rounds on end
-    raise it by less than ``least``.
+    raise it by less than ``least``.  Of ``copies`` equal graphs side by side each keeps its own best labels.
     """
     strength = cut(w.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     m2 = strength.agg(F.sum("k")).first()[0] or 1.0
     labels = strength.select("id", F.col("id").alias("community"))
-    best, best_q, stalled = labels, weighted_modularity(w, labels), 0
+    best, best_q, stalled = labels, weighted_modularity(w, labels, copies), 0
     for r in count() if rounds is None else range(rounds):
         named = strength.join(labels, "id")
         tot = named.groupBy("community").agg(F.sum("k").alias("tot"))
@@ -134,20 +135,25 @@ def local_moving(w: DataFrame, seed: int, rounds: int | None = None, least: floa
         option = to.unionAll(stay).groupBy("id", "community").agg(F.sum("kin").alias("kin"))
         option = option.join(tot, "community").join(named.select("id", "k", F.col("community").alias("own")), "id")
         home = F.col("community") == F.col("own")
-        gain = F.col("kin") - F.col("k") * (F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)) / m2
+        gain = F.col("kin") - copies * F.col("k") * (F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)) / m2
         choice = option.withColumn("gain", F.round(gain, 9)).groupBy("id", "own").agg(F.max_by("community", F.struct("gain", home.cast("int"), -F.col("community"))).alias("new"))
         active = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(2)) == 0
         labels = cut(choice.select("id", F.when(active, F.col("new")).otherwise(F.col("own")).alias("community")))
-        q = weighted_modularity(w, labels)
-        stalled = 0 if q > best_q + least else stalled + 1
-        if q > best_q:
-            best, best_q = labels, q
+        q = weighted_modularity(w, labels, copies)
+        better = [run for run, x in q.items() if x > best_q[run]]
+        stalled = 0 if any(q[run] > best_q[run] + least for run in better) else stalled + 1
+        if len(better) == len(q):
+            best = labels
+        elif better:
+            own = F.pmod("id", F.lit(copies)).isin(better)
+            best = cut(labels.where(own).unionByName(best.where(~own)))
+        best_q |= {run: q[run] for run in better}
         if stalled == 2:
             break
     return best
 
 
-def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine: bool = False, rounds: int | None = None) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine: bool = False, rounds: int | None = None, copies: int = 1) -> DataFrame:
     """(id, community), community named by its smallest node; ``refine`` divides a level's communities
     into their connected parts before they are contracted (Leiden's guarantee).  Without ``levels`` it
     ends where a level merges nothing."""
@@ -155,7 +161,7 @@ def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine:
     members = w.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id"))
     last = None
     for level in count() if levels is None else range(levels):
-        moved = local_moving(w, seed + 100 * level, rounds)
+        moved = local_moving(w, seed + 100 * level, rounds, copies=copies)
         if refine:
             s, d = (moved.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}")) for c in ("src", "dst"))
             inside = w.where("src < dst").join(s, "src").join(d, "dst").where("c_src = c_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -172,6 +178,18 @@ def louvain(edges: DataFrame, seed: int = 42, levels: int | None = None, refine:
     return members.join(name, "node").select("id", "community")
 
 
+def louvain_runs(edges: DataFrame, runs: int = 8, seed: int = 42) -> DataFrame:
+    """(run, id, community) of ``runs`` detections, each with draws of its own.
+
+    All run at once on as many copies of the graph: a copy's nodes have names of their own, gains and
+    modularity are those of a copy alone, and each keeps its own best labels.
+    """
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))
+    copies = edges.withColumn("run", run).select(*[(F.col(e) * runs + F.col("run")).alias(e) for e in "ab"])
+    found = louvain(copies, seed, copies=runs)
+    return found.select(F.pmod("id", F.lit(runs)).cast("int").alias("run"), F.floor(F.col("id") / runs).cast("long").alias("id"), F.floor(F.col("community") / runs).cast("long").alias("community"))
+
+
 def leiden(edges: DataFrame, seed: int = 42, levels: int | None = None, rounds: int | None = None) -> DataFrame:
     return louvain(edges, seed, levels, refine=True, rounds=rounds)
 

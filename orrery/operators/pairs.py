@@ -96,7 +96,7 @@ def model_b_features(pairs: DataFrame, edges: DataFrame, scores: DataFrame | Non
         f = lookup(f, scores, "id", 0.0)
         extra += [f"{c}_{e}" for c in scores.columns if c != "id" for e in "uv"]
     if communities is not None:
-        f = lookup(f, communities, "id", -1, -2).withColumn("same_community", (F.col("community_u") == F.col("community_v")).cast("int"))
+        f = common_labels(f, communities, "community", "same_community")
         extra.append("same_community")
     c = F.col
     total_u, total_v = c("out_degree_u") + c("in_degree_u"), c("out_degree_v") + c("in_degree_v")

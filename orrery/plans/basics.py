@@ -9,7 +9,8 @@ from ..functions.ordering import avg_rank as add_avg_rank
 from ..functions.ordering import pct_rank as add_pct_rank
 from ..functions.ordering import quantiles as exact_quantiles
 from ..functions.ordering import top_n_cut
-from ..operators import blend, cohesion, graph
+from ..operators import blend, cohesion, graph, walks
+from ..session import cut
 from .registry import query
 
 ATTRIBUTES = ["views", "life_time", "affiliate", "dead_account", "mature"]
@@ -149,12 +150,30 @@ def exact_median(t):
     return one.crossJoin(F.broadcast(two))
 
 
-CORRELATED = ["degree", "log_views", "life_time", "affiliate", "dead_account", "mature"]
-METRICS = "& d AS (SELECT src AS id, count(*) AS degree FROM s_und GROUP BY src), mt AS MATERIALIZED (SELECT degree::double AS degree, ln(1 + views) AS log_views, life_time::double AS life_time, affiliate::double AS affiliate, dead_account::double AS dead_account, mature::double AS mature FROM d JOIN node_attr n ON n.id = d.id) "
+STRUCTURAL, MEASURED = ["degree", "pagerank", "local_clustering"], ["log_views", "affiliate", "life_time"]
+CORRELATED = STRUCTURAL + MEASURED
+#: Rounds of the PageRank in SQL; on these graphs later rounds change no shown digit.
+SQL_ROUNDS = 40
+UNDIRECTED_RANK = "nn AS (SELECT count(*)::double AS n FROM d), pr0 AS MATERIALIZED (SELECT id, 1.0::double / n AS r FROM d, nn)" + "".join(
+    f", pr{k} AS MATERIALIZED (SELECT d.id, 0.15::double / n + 0.85::double * coalesce(g.got, 0) AS r FROM d CROSS JOIN nn LEFT JOIN (SELECT s.dst AS id, sum(p.r / d.degree) AS got FROM s_und s JOIN pr{k - 1} p ON p.id = s.src JOIN d ON d.id = s.src GROUP BY s.dst) g ON g.id = d.id)"
+    for k in range(1, SQL_ROUNDS + 1)
+)
+METRICS = f"""{CLUSTERING}, {UNDIRECTED_RANK}, mt AS MATERIALIZED (SELECT lc.id, lc.degree::double AS degree, round(pr{SQL_ROUNDS}.r, 9) AS pagerank, round(lc.clustering, 8) AS local_clustering,
+ln(1 + views) AS log_views, affiliate::double AS affiliate, life_time::double AS life_time FROM lc JOIN pr{SQL_ROUNDS} ON pr{SQL_ROUNDS}.id = lc.id JOIN node_attr n ON n.id = lc.id) """
 
 
 def metrics(t):
-    return und_degree(t).join(t.node_attr, "id").withColumn("log_views", F.log1p("views")).select(*[F.col(c).cast("double").alias(c) for c in CORRELATED])
+    """Each node's degree, PageRank and local clustering on the undirected graph beside its attributes."""
+    sym = cut(graph.symmetric(t.e_und))
+    rank = walks.pagerank(sym).select("id", F.round("pagerank", 9).alias("pagerank"))
+    local = cohesion.local_clustering(t.e_und).select("id", "degree", F.round("clustering", 8).alias("local_clustering"))
+    both = local.join(rank, "id").join(t.node_attr, "id").withColumn("log_views", F.log1p("views"))
+    return cut(both.select("id", *[F.col(c).cast("double").alias(c) for c in CORRELATED]))
+
+
+@query(METRICS + "SELECT id, degree, pagerank, local_clustering, round(log_views, 8) AS log_views, affiliate, life_time FROM mt")
+def node_metrics(t):
+    return digits(metrics(t), "log_views")
 
 
 def matrix_sql(source: str) -> str:
@@ -179,6 +198,22 @@ def spearman_matrix(t):
 RANKS = "& r AS MATERIALIZED (SELECT id, p1, p2, label, rank() OVER (ORDER BY p1) + (count(*) OVER (PARTITION BY p1) - 1) / 2.0::double AS r1, rank() OVER (ORDER BY p2) + (count(*) OVER (PARTITION BY p2) - 1) / 2.0::double AS r2, count(*) OVER () AS n FROM scores) "
 
 
+@query(RANKS + "SELECT round(corr(r1, r2), 8) + 0::double AS spearman FROM r")
+def spearman_pair(t):
+    return digits(stats.spearman(t.scores, "p1", "p2"), "spearman")
+
+
+BLOCK = f"x IN ({', '.join(map(repr, STRUCTURAL))}) AND y IN ({', '.join(map(repr, MEASURED))})"
+
+
+@query(METRICS + ranked_sql("mt") + ", mx AS (" + matrix_sql("rk") + f") SELECT x, y, corr FROM mx WHERE {BLOCK} ORDER BY abs(corr) DESC, x, y LIMIT 1")
+def strongest_pair(t):
+    return stats.strongest(spearman_matrix(t), STRUCTURAL, MEASURED)
+
+
+RANKS = "& r AS MATERIALIZED (SELECT id, p1, p2, label, rank() OVER (ORDER BY p1) + (count(*) OVER (PARTITION BY p1) - 1) / 2.0::double AS r1, rank() OVER (ORDER BY p2) + (count(*) OVER (PARTITION BY p2) - 1) / 2.0::double AS r2, count(*) OVER () AS n FROM scores) "
+
+
 @query(RANKS + "SELECT round(corr(r1, r2), 8) + 0::double AS spearman FROM r")
 def spearman_pair(t):
     return digits(stats.spearman(t.scores, "p1", "p2"), "spearman")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import cohesion, graph, linalg, ml, pairs, sampling
+from ..operators import cohesion, community, graph, linalg, ml, pairs, sampling
 from ..session import cut
 from .basics import digits
-from .links import brands, sizes
+from .links import brands
+from .networks import node_scores
 from .registry import query
 
 VECTOR_PAIRS = "& vp AS MATERIALIZED (SELECT x.vec_id AS pair_id, x.embedding AS a, y.embedding AS b FROM embeddings x JOIN embeddings y ON y.vec_id = (x.vec_id * 7 + 13) % (SELECT count(*) FROM embeddings)), hd AS MATERIALIZED (SELECT pair_id, generate_subscripts(a, 1) - 1 AS i, unnest(a)::double AS x, unnest(b)::double AS y FROM vp) "
@@ -82,8 +83,11 @@ def svd_embeddings(t):
 
 #: Trees of the registered queries; the factories' defaults are the large models'.
 QUICK = {"rounds": 10, "depth": 4, "rate": 0.3, "subsample": 1.0, "columns": "all", "least": 5}
-HIDDEN = ["cn", "jaccard", "adamic_adar", "resource_alloc", "log_pa", "short_path", "same_brand", "same_size", "log_deg_u", "log_deg_v"]
-TUNED = ["cn", "jaccard", "adamic_adar", "log_pa", "same_brand", "same_size"]
+DETECTED = ["same_leiden", "same_louvain", "same_component"]
+HIDDEN = ["cn", "jaccard", "adamic_adar", "resource_alloc", "log_pa", "short_path", *DETECTED, "consensus", "log_deg_u", "log_deg_v"]
+TUNED = ["cn", "jaccard", "adamic_adar", "log_pa", *DETECTED]
+#: Dimensions of Model B's vectors in the registered queries.
+FACTORS = 16
 
 
 def link_rows(t):
@@ -130,22 +134,70 @@ def sparse_rows(t):
     return sym, cut(both.withColumn("pair_id", F.xxhash64("u", "v")))
 
 
-LABELLED = (("same_brand", brands), ("same_size", sizes))
+def detected(t):
+    """The runs of Louvain, and (labels, column, name) of each partition of the sparse graph."""
+    runs = cut(community.louvain_runs(t.e_sparse))
+    parts = community.leiden(t.e_sparse), runs.where("run = 0").select("id", "community"), cohesion.components(t.e_sparse).withColumnRenamed("component", "community")
+    return runs, [(cut(p), "community", n) for p, n in zip(parts, DETECTED)]
 
 
 @query()
 def gbt_tuned_ensemble(t):
     sym, rows = sparse_rows(t)
-    named = [(f(t), "community", n) for n, f in LABELLED]
+    _, named = detected(t)
     train = pairs.tuned_features(rows, sym, named).join(rows.select("pair_id", "label"), "pair_id")
     test = pairs.tuned_features(t.pairs, sym, named)
-    return ml.seed_ensemble(train, test, TUNED, ml.gbt(**{**QUICK, "subsample": 0.8}), "pair_id", members=2)
+    return ml.seed_ensemble(train, test, TUNED, ml.gbt(**{**QUICK, "subsample": 0.8}), "pair_id", members=8)
 
 
 @query()
 def gbt_hidden_ensemble(t):
     sym, rows = sparse_rows(t)
-    named = [(f(t), "community", n) for n, f in LABELLED]
-    near = lambda p, hide: pairs.hidden_edge_features(p, sym, named, cohesion.short_path(p, sym, hide), hide)
+    runs, named = detected(t)
+
+    def near(p, hide):
+        f = pairs.hidden_edge_features(p, sym, named, cohesion.short_path(p, sym, hide), hide)
+        return f.join(pairs.consensus_share(p, runs).select("pair_id", "consensus"), "pair_id")
+
     train = near(rows, True).join(rows.select("pair_id", "label"), "pair_id")
-    return ml.seed_ensemble(train, near(t.pairs, False), HIDDEN, ml.gbt(**{**QUICK, "subsample": 0.8}), "pair_id", members=2)
+    return ml.seed_ensemble(train, near(t.pairs, False), HIDDEN, ml.gbt(**{**QUICK, "subsample": 0.8}), "pair_id", members=6)
+
+
+def model_b(t):
+    """The function that gives Model B's columns for pairs: 27 of the graph, nine of the vectors and their products."""
+    edges = cut(t.e_dir)
+    scores = node_scores(t)
+    und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    named = cut(community.louvain(und))
+    _, left, right = linalg.svd(edges, k=FACTORS)
+    left, right = cut(left), cut(right)
+    return lambda p: pairs.model_b_features(p, edges, scores, named).join(linalg.svd_pair_features(p, left, right, FACTORS), "pair_id")
+
+
+def model_b_frames(t):
+    """(training rows with label and fold, candidate pairs, columns) of Model B."""
+    rows, features = link_rows(t), model_b(t)
+    train = features(rows)
+    train = cut(ml.stratified_folds(train.join(rows.select("pair_id", "label"), "pair_id"), "label", "pair_id", 3))
+    test = cut(features(t.pairs))
+    return train, test, [c for c in test.columns if c != "pair_id"]
+
+
+@query()
+def model_b_features(t):
+    """All columns of Model B for the candidate pairs; Louvain and the vectors' signs are beyond SQL."""
+    return model_b(t)(t.pairs)
+
+
+@query()
+def gbt_model_b(t):
+    """Candidate pairs scored by the models of all folds, averaged."""
+    train, test, columns = model_b_frames(t)
+    return ml.out_of_fold(train, test, columns, ml.gbt(**QUICK), "pair_id", 3)[1]
+
+
+@query()
+def rank_average_predict(t):
+    """Model B's columns: boosted trees and a forest trained on all rows, ranks averaged."""
+    train, test, columns = model_b_frames(t)
+    return ml.train_all(train, test, columns, [ml.gbt(**QUICK), ml.forest(trees=20, depth=8)], "pair_id")

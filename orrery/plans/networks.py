@@ -12,7 +12,7 @@ from .basics import CLUSTERING, DEGREES, digits, und_degree
 from .links import LABELS, REACH, brands
 from .registry import query
 
-PAGERANK_ROUNDS, HITS_ROUNDS, PPR_ROUNDS, ALPHA, TOP_PAIRS = 20, 10, 20, 0.85, 10
+PAGERANK_ROUNDS, HITS_ROUNDS, PPR_ROUNDS, ALPHA, TOP_PAIRS = 100, 100, 20, 0.85, 10
 
 
 @query(CLUSTERING + "SELECT count(*) AS triangles FROM tri")
@@ -66,6 +66,24 @@ def hits(t):
     return digits(walks.hits(t.e_dir, HITS_ROUNDS), "hub", "authority", places=9)
 
 
+GLOBAL = pagerank_sql().rsplit(" SELECT ", 1)[0] + ", " + hits_sql().removeprefix("& ").rsplit(" SELECT ", 1)[0] + ", lab AS (SELECT id, language AS community FROM node_attr) "
+
+
+@query(GLOBAL + f"""SELECT p.pair_id, round(coalesce(pu.r, 0), 9) AS pagerank_u, round(coalesce(pv.r, 0), 9) AS pagerank_v, round(coalesce(hu.x, 0), 9) AS hub_u, round(coalesce(hv.x, 0), 9) AS hub_v, round(coalesce(au.x, 0), 9) AS authority_u, round(coalesce(av.x, 0), 9) AS authority_v,
+coalesce(CAST(lu.community = lv.community AS INT), 0) AS same_community FROM pairs p LEFT JOIN p{PAGERANK_ROUNDS} pu ON pu.id = p.u LEFT JOIN p{PAGERANK_ROUNDS} pv ON pv.id = p.v LEFT JOIN h{HITS_ROUNDS} hu ON hu.id = p.u LEFT JOIN h{HITS_ROUNDS} hv ON hv.id = p.v
+LEFT JOIN a{HITS_ROUNDS} au ON au.id = p.u LEFT JOIN a{HITS_ROUNDS} av ON av.id = p.v LEFT JOIN lab lu ON lu.id = p.u LEFT JOIN lab lv ON lv.id = p.v""")
+def model_b_global_features(t):
+    """Model B's seven global features, with brands in place of detected communities, as SQL can't detect."""
+    named = ["pagerank_u", "pagerank_v", "hub_u", "hub_v", "authority_u", "authority_v"]
+    return digits(pairs.model_b_features(t.pairs, t.e_dir, node_scores(t), brands(t)).select("pair_id", *named, "same_community"), *named, places=9)
+
+
+def node_scores(t):
+    """(id, pagerank, hub, authority) of the directed graph."""
+    edges = cut(t.e_dir)
+    return cut(walks.pagerank(edges, ALPHA, PAGERANK_ROUNDS).join(walks.hits(edges, HITS_ROUNDS), "id"))
+
+
 def ppr_sql() -> str:
     head = "& dg AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM s_sparse GROUP BY src), src AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT u AS id FROM seed_pairs UNION SELECT v FROM seed_pairs) JOIN dg USING (id)), q0 AS MATERIALIZED (SELECT id AS source, id AS node, 1.0::double AS r FROM src)"
     rounds = "".join(f", q{k} AS MATERIALIZED (SELECT source, node, sum(r) AS r FROM (SELECT q.source, s.dst AS node, q.r * (1.0::double / d) * {ALPHA}::double AS r FROM q{k - 1} q JOIN s_sparse s ON s.src = q.node JOIN dg ON dg.id = q.node UNION ALL SELECT id, id, {1 - ALPHA}::double FROM src) GROUP BY source, node)" for k in range(1, PPR_ROUNDS + 1))
@@ -217,6 +235,21 @@ def powerlaw_vs_lognormal(t):
     return h.sparkSession.createDataFrame([(r, p, not (r < 0 and p < 0.05))], "r double, p double, not_rejected boolean")
 
 
+@query()
+def scale_free_verdict(t):
+    """Whether the exponent is between 2 and 3 and a lognormal is not clearly better."""
+    h = cut(stats.value_counts(und_degree(t), "degree"))
+    fit = powerlaw.best_fit(powerlaw.alpha_ks(h)).first()
+    r, p = powerlaw.against_lognormal(h, fit["xmin"]) if fit else (0.0, 1.0)
+    return h.sparkSession.createDataFrame([(bool(fit) and 2 < fit["alpha"] < 3 and not (r < 0 and p < 0.05),)], "scale_free boolean")
+
+
+@query()
+def louvain_consensus(t):
+    """Share of eight detections of the sparse graph that put both ends of a pair together."""
+    return pairs.consensus_share(t.pairs, cut(community.louvain_runs(t.e_sparse))).select("pair_id", "consensus")
+
+
 @query()
 def louvain(t):
     return community.louvain(t.e_und)

@@ -49,9 +49,68 @@ def write_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def cell(x) -> str:
+    if isinstance(x, float):
+        return f"{x:,.4f}"
+    return f"{x:,}" if isinstance(x, int) and not isinstance(x, bool) else "" if x is None else str(x)
+
+
 def markdown_table(df: DataFrame, most: int = 100) -> str:
-    """A small result as a markdown table (a report shows ``most`` rows)."""
-    rows = df.limit(most).collect()
-    cell = lambda x: f"{x:,.4f}" if isinstance(x, float) else f"{x:,}" if isinstance(x, int) and not isinstance(x, bool) else str(x)
+    """A result as a markdown table; where it has more than ``most`` rows, a last line says how many are left out."""
+    rows = df.limit(most + 1).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(map(cell, r)) + " |" for r in rows]])
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    return "\n".join(lines + [f"({df.count() - most:,} rows more)"] * (len(rows) > most))
+
+
+def percent(share: float, places: int = 1) -> str:
+    return f"{100 * share:.{places}f}%"
+
+
+def markdown_report(title: str, sections: list[tuple[str, str | DataFrame | dict]]) -> str:
+    """A report of sections (heading, body): text as it is, a table from a DataFrame, a list from a dict of
+    figures, where shares in a name's place ending in % are given in percent."""
+    parts = [f"# {title}"]
+    for heading, body in sections:
+        if isinstance(body, DataFrame):
+            body = markdown_table(body)
+        elif isinstance(body, dict):
+            body = "\n".join(f"- {k.removesuffix('%').strip()}: {percent(v) if k.endswith('%') else cell(v)}" for k, v in body.items())
+        parts.append(f"## {heading}\n\n{body}")
+    return "\n\n".join(parts) + "\n"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One UTF-8 file at any path that Spark's file systems reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_blend(df: DataFrame, path: str, key: str, value: str, header: tuple[str, str] = ("ID", "Label")) -> tuple[float, float]:
+    """A blend as ``write_predictions`` writes it; gives the range of its values."""
+    write_predictions(df, path, key, value, header)
+    return tuple(df.agg(F.min(value), F.max(value)).first())
+
+
+def load_cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
+    """The table that ``build()`` makes, from the Parquet folder ``path`` where it was written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if rebuild or not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def checked_range(name: str, value: float, low: float, high: float) -> float:
+    """``value``, if it lies strictly between the bounds; else an error names it."""
+    if not low < value < high:
+        raise ValueError(f"{name} is {value}, not between {low} and {high}")
+    return value
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, its types found from the file."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)

@@ -33,3 +33,30 @@ def test_degree_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.id: (r.out_degree, r.in_degree) for r in spark.table("degree_now").collect()} == {1: (2, 0), 2: (0, 1), 3: (0, 1)}
+
+
+def test_report_cache_and_ranges(spark, tmp_path):
+    from orrery.sources import files
+
+    df = spark.createDataFrame([(i, i / 4) for i in range(5)], "id long, x double")
+    table = files.markdown_table(df, 3)
+    assert table.splitlines()[-1] == "(2 rows more)" and table.splitlines()[2] == "| 0 | 0.0000 |"
+    text = files.markdown_report("Title", [("Text", "words"), ("Figures", {"edges": 6797557, "share %": 0.485}), ("Table", df)])
+    assert "- edges: 6,797,557" in text and "- share: 48.5%" in text and text.startswith("# Title\n\n## Text\n\nwords")
+    files.write_text(spark, text, str(tmp_path / "report.md"))
+    assert (tmp_path / "report.md").read_text() == text
+    made = []
+    build = lambda: (made.append(1), df)[1]
+    for rebuild in (False, False, True):
+        assert files.load_cached(spark, str(tmp_path / "graph"), build, rebuild).count() == 5
+    assert len(made) == 2
+    assert files.write_blend(df, str(tmp_path / "blend"), "id", "x") == (0.0, 1.0)
+    back = files.read_inferred(spark, str(tmp_path / "blend"))
+    assert back.dtypes == [("ID", "int"), ("Label", "double")]
+    assert files.checked_range("transitivity", 0.0184, 0.017, 0.020) == 0.0184
+    try:
+        files.checked_range("transitivity", 0.5, 0.017, 0.020)
+    except ValueError as error:
+        assert "transitivity" in str(error)
+    else:
+        raise AssertionError("no error")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orrery.functions import ordering, stats
 from orrery.operators import blend, cohesion, community, graph, linalg, ml, pairs, powerlaw, sampling, walks
 from orrery.plans import networks
+from orrery.session import cut
 
 TRIANGLE = [(1, 2), (2, 3), (1, 3)]
 PATH7 = [(i, i + 1) for i in range(1, 7)]
@@ -208,11 +209,11 @@ def test_empty_graph(spark):
 
 def test_registered_detection_runs_until_it_stalls(spark, monkeypatch):
     cliques = [(5 * c + i, 5 * c + j) for c in range(40) for i in range(5) for j in range(i)]
-    edges = und(spark, [*cliques, *((5 * c, (5 * c + 9) % 200) for c in range(40))]).localCheckpoint()
+    edges = cut(und(spark, [*cliques, *((5 * c, (5 * c + 9) % 200) for c in range(40))]))
     t = SimpleNamespace(spark=spark, e_und=edges, e_sparse=edges.limit(3))
     own = spark.createDataFrame([(i, i // 5) for i in range(200)], "id long, community long")
     best = community.modularity(edges, own).first()[0]
-    labels = networks.louvain(t).localCheckpoint()
+    labels = cut(networks.louvain(t))
     assert labels.count() == 200 and community.modularity(edges, labels).first()[0] >= 0.9 > best
     seen, null = [], community.configuration_null
     monkeypatch.setattr(community, "louvain", lambda edges, *a: own)
@@ -237,3 +238,70 @@ def test_every_candidate_pair_is_scored(spark):
         rows = scored.collect()
         assert len(rows) == 48 and all(abs(r.score - mean(r.u, r.v)) < 1e-8 for r in rows)
     assert networks.ppr_all_topn_predict(t).where("predicted = 1").count() == networks.TOP_PAIRS
+
+
+def test_ranks_quantiles_and_cuts_with_nulls_and_hot_values(spark, monkeypatch):
+    import numpy as np
+
+    from orrery.functions import ordering
+
+    monkeypatch.setattr(ordering, "HOT", 4)
+    rows = [(i, None if i % 5 == 0 else float(i % 7 if i % 3 else 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    got = {r.id: r.r for r in ordering.avg_rank(df, "x", "r").collect()}
+    known = sorted(x for _, x in rows if x is not None)
+    assert len(got) == 60
+    for i, x in rows:
+        assert got[i] == (None if x is None else np.mean([k + 1 for k, y in enumerate(known) if y == x]))
+    q = ordering.quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).first()["q"]
+    assert np.allclose(q, np.quantile(known, [0, 0.25, 0.5, 0.9, 1.0]))
+    by = {r.g: r.q for r in ordering.quantiles(df.withColumn("g", F.col("id") % 3), "x", [0.1, 0.5], ["g"]).collect()}
+    for g in range(3):
+        assert np.allclose(by[g], np.quantile([x for i, x in rows if x is not None and i % 3 == g], [0.1, 0.5]))
+    cut = {r.id: r.top for r in ordering.top_n_cut(df, "x", "id", 50, "top").collect()}
+    assert sum(cut.values()) == 50 and all(cut[i] == 1 for i, x in rows if x is not None)
+
+
+def test_louvain_runs_detect_in_every_copy(spark):
+    from orrery.operators import community, pairs
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], "a long, b long")
+    found = community.louvain_runs(edges, 4)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.run, {})[r.id] = r.community
+    assert sorted(by) == [0, 1, 2, 3] and all(sorted(v) == [1, 2, 3, 4, 5, 6] for v in by.values())
+    whole = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]
+    for v in by.values():  # a run may stop at a partition a little below the best, of modularity 5/14
+        vol = {}
+        for e in whole:
+            for x in e:
+                vol[v[x]] = vol.get(v[x], 0) + 1
+        assert sum(v[a] == v[b] for a, b in whole) / 7 - sum((x / 14) ** 2 for x in vol.values()) > 0.1
+    asked = spark.createDataFrame([(0, 1, 2), (1, 1, 6), (2, 1, 99)], "pair_id long, u long, v long")
+    got = {r.pair_id: r.consensus for r in pairs.consensus_share(asked, found).collect()}
+    assert got == {0: sum(v[1] == v[2] for v in by.values()) / 4, 1: sum(v[1] == v[6] for v in by.values()) / 4, 2: 0.0}
+
+
+def test_components_of_chains_and_loops(spark):
+    from orrery.operators import cohesion
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2000)] + [(5000, 5000)], "a long, b long")
+    got = {r.id: r.component for r in cohesion.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(2001)) and got[5000] == 5000
+
+
+def test_training_on_all_rows_ranks_and_averages(spark):
+    from orrery.operators import linalg, ml
+
+    rows = [(i, i % 10 / 10.0, int(i % 10 >= 5)) for i in range(200)]
+    train = spark.createDataFrame(rows, "pair_id long, x double, label int")
+    test = spark.createDataFrame([(1, 0.05), (2, 0.95), (3, 0.06)], "pair_id long, x double")
+    got = {r.pair_id: r.p for r in ml.train_all(train, test, ["x"], [ml.gbt(3, 2, 0.3, 1.0, "all", 1), ml.forest(5, 1, 3)], "pair_id", [2.0, 1.0]).collect()}
+    assert got[2] == 1.0 and got[1] == got[3] < got[2]
+    folded = ml.stratified_folds(train, "label", "pair_id", 2)
+    oof, scored = ml.out_of_fold(folded, test, ["x"], ml.gbt(3, 2, 0.3, 1.0, "all", 1), "pair_id", 2)
+    assert oof.count() == 200 and {r.pair_id: r.p > 0.5 for r in scored.collect()} == {1: False, 2: True, 3: False}
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, -1.0])], "id long, x array<double>")
+    f = {r.pair_id: r for r in linalg.svd_pair_features(spark.createDataFrame([(7, 1, 2), (8, 1, 99)], "pair_id long, u long, v long"), vectors, vectors, 2).collect()}
+    assert f[7].dot == -1.5 and f[7].had_0 == 0.5 and f[7].had_1 == -2.0 and f[8].dot == 0.0
