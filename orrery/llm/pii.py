@@ -26,8 +26,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?|\s(?:at|AT)\s)[A-Za-z0-9-]+(?:(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{2,})+")
 #: Where a spelled "@" may stand: every match of SPELLED has one after its first run of LOCAL characters.
 SIGN = re.compile(r"(?=[\[({]\s?(?:at|AT)\s?[\])}]|\s[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s)")
-#: A run of digit groups, with what stands before and behind; every stretch of its groups is looked at.
-GROUPS = re.compile(r"[0-9() ./-]++")
+#: A run of digit groups, with what stands behind; every stretch of its groups is looked at.
+GROUPS = re.compile(r"[(0-9][0-9() ./-]{8,}+")
 DIGITS = re.compile(r"[0-9]+")
 MOST_GROUPS = 8
 HEX_GROUPS = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}")
@@ -104,8 +104,6 @@ def stretches(text: str) -> list[tuple[int, int, int]]:
     at most; one after a "(" also with it."""
     out = []
     for run in GROUPS.finditer(text):
-        if run.end() - run.start() < 9:
-            continue
         groups = [m.span() for m in DIGITS.finditer(text, run.start(), run.end())]
         for i, (a, _) in enumerate(groups):
             n = 0
