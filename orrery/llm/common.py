@@ -65,13 +65,13 @@ def fan_out(df: DataFrame) -> int:
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, as column ``out``.
 
-    A key's rows are dealt over ``salts`` tasks by a hash of ``order``; each task
-    ranks its own rows and adds the rows of the salts before it, so a key that
-    holds most rows is never gathered in one task.  ``df`` is read twice: cut it
-    first.  Keys must not be null.
+    A key's rows are dealt over ``salts`` tasks by a hash of ``order`` and of the partition they
+    lie in; each task ranks its own rows and adds the rows of the salts before it, so a key that
+    holds most rows is never gathered in one task, nor are rows equal in ``order``.  ``df`` is
+    read twice: cut it first.  Keys must not be null.
     """
     salts = salts or fan_out(df)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(salts)))
     before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         salted.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))

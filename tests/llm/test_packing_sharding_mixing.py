@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orrery.llm import mixing, packing, sharding
+from orrery.llm.common import cut, gapless_rank
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "a", "\n\n x", "wörd 日本   end ", "<|endoftext|>", "don't  stop\t now", "x " * 3000, "z" * 5000]
@@ -82,6 +83,17 @@ def test_pack_documents(spark):
     assert sum(r.length for r in rows) == sum(map(len, tokens.values()))
 
 
+def test_pack_repeated_and_null_ids(spark):
+    rows = [(None, "some words"), (5, "some words"), (5, "other words here"), (5, None)] * 40
+    df = cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    got = packing.pack_documents(df, TOKENIZER).collect()
+    assert len(got) == 160 and sum(r.doc_id is None for r in got) == 40 and {r.piece for r in got} == {0}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:])) and len(set(p[:2] for p in places)) == 160
+    ranked = gapless_rank(df.withColumn("k", F.lit(1)), ["k"], ["doc_id", "text"], "r").withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.r for r in ranked) == list(range(160))
+
+
 def test_pack_empty_table(spark):
     assert packing.pack_documents(docs(spark, ["x"]).limit(0), TOKENIZER).count() == 0
 

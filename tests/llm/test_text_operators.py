@@ -346,6 +346,16 @@ def naive_features(text):
     return np.sqrt(out / max(1, total))
 
 
+def test_long_texts_equal_brute_force(spark):
+    """Texts of thousands of words in the joins on shingles and windows."""
+    r = random.Random(21)
+    base = [f"w{r.randint(0, 900)}" for _ in range(6000)]
+    near = [f"e{i}" if i % 90 == 0 else w for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(near), " ".join(base[:4000]), "\n".join(["lead"] + base[500:900] + ["tail"] * 3000), "tail " * 4000]
+    assert sorted(tuple(x) for x in jaccard.link_documents(docs(spark, texts)).collect()) == sorted(brute_components(texts))
+    assert sorted(tuple(x) for x in substring.drop_copies(docs(spark, texts)).collect()) == brute_substring(texts)
+
+
 def test_language_features_and_decoding_equal_brute_force(spark):
     texts, langs = language_texts(3, 120)
     texts += ["a", "Ünïcode  ... text 日本", "x" * 500]
