@@ -5,24 +5,27 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running_total
+from ..session import cut
+
 
 def alpha_ks(histogram: DataFrame, value: str = "degree", count: str = "n", least_tail: int = 10) -> DataFrame:
     """(xmin, tail, alpha, ks) for every xmin whose tail has ``least_tail`` rows or more.
 
     alpha = 1 + n / sum ln(x / (xmin - 1/2)); ks compares the tail's CCDF with
-    (x - 1/2) / (xmin - 1/2) to the power 1 - alpha.  The histogram has a row per distinct
-    value, so joining it with itself is bounded by its square.
+    (x - 1/2) / (xmin - 1/2) to the power 1 - alpha.  Tails and their sums of logarithms are running
+    totals of the histogram, which has a row per distinct value; only ks meets every
+    value with those above it.
     """
     h = histogram.select(F.col(value).cast("double").alias("x"), F.col(count).cast("double").alias("c")).where("x >= 1")
-    x = h.select(F.col("x").alias("xmin"))
-    tail = x.join(h, F.col("x") >= F.col("xmin"))
-    fit = tail.groupBy("xmin").agg(F.sum("c").alias("tail"), F.sum(F.col("c") * F.ln(F.col("x") / (F.col("xmin") - 0.5))).alias("s"))
-    fit = fit.where(F.col("tail") >= least_tail).select("xmin", "tail", (1 + F.col("tail") / F.col("s")).alias("alpha"))
-    down = Window.partitionBy("xmin").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    gap = tail.join(fit, "xmin").withColumn("above", F.sum("c").over(down))
+    down = [F.col("x").desc()]
+    tails = running_total(running_total(h.withColumn("l", F.col("c") * F.ln("x")), down, "c", "tail"), down, "l", "s")
+    tails = cut(tails.select("x", "tail", "s"))
+    fit = tails.where(F.col("tail") >= least_tail).select(F.col("x").alias("xmin"), "tail", (1 + F.col("tail") / (F.col("s") - F.col("tail") * F.ln(F.col("x") - 0.5))).alias("alpha"))
+    gap = fit.join(tails.select("x", F.col("tail").alias("above")), F.col("x") >= F.col("xmin"))
     model = F.pow((F.col("x") - 0.5) / (F.col("xmin") - 0.5), 1 - F.col("alpha"))
     return gap.groupBy("xmin", "tail", "alpha").agg(F.max(F.abs(F.col("above") / F.col("tail") - model)).alias("ks"))
 
