@@ -34,18 +34,28 @@ def directed_neighbours(edges: DataFrame) -> DataFrame:
     return one.join(deg, "w")
 
 
+def fewer(pairs: DataFrame, degree: str) -> DataFrame:
+    """(pair_id, x, y, turned): the ends of pairs with ``degree``_u and ``degree``_v, x with the smaller; turned where it is v."""
+    turned = F.col(f"{degree}_v") < F.col(f"{degree}_u")
+    return pairs.select("pair_id", F.when(turned, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("y"), turned.alias("turned"))
+
+
 def directed_overlaps(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs with counts of common neighbours by direction and sums over them.
 
     oo, oi, io, ii: w in out/in of u and out/in of v; und: in either of both.  aa_und weighs by
     ln of the undirected degree + 1e-9 (degree over 1), aa_dir and ra_dir are over w in
-    out(u) and in(v), by ln of the total degree and by the out-degree.
+    out(u) and in(v), by ln of the total degree and by the out-degree.  The end with fewer
+    neighbours is the one whose list a pair meets in full.
     """
     nb = directed_neighbours(edges)
     und = nb.groupBy("x").agg(F.count(F.lit(1)).alias("und_degree")).withColumnRenamed("x", "w")
-    left = nb.select(F.col("x").alias("u"), "w", F.col("o").alias("ou"), F.col("i").alias("iu"), "out_degree", "in_degree")
-    right = nb.select(F.col("x").alias("v"), "w", F.col("o").alias("ov"), F.col("i").alias("iv"))
-    met = pairs.select("pair_id", "u", "v").join(left, "u").join(right, ["v", "w"]).join(und, "w")
+    few = fewer(lookup(pairs.select("pair_id", "u", "v"), und.withColumnRenamed("w", "id"), "id"), "und_degree")
+    left = nb.select("x", "w", F.col("o").alias("ox"), F.col("i").alias("ix"), "out_degree", "in_degree")
+    right = nb.select(F.col("x").alias("y"), "w", F.col("o").alias("oy"), F.col("i").alias("iy"))
+    met = few.join(left, "x").join(right, ["y", "w"]).join(und, "w")
+    of = lambda a, b: F.when(F.col("turned"), F.col(b)).otherwise(F.col(a))
+    met = met.withColumns({"ou": of("ox", "oy"), "iu": of("ix", "iy"), "ov": of("oy", "ox"), "iv": of("iy", "ix")})
     oi = F.col("ou") * F.col("iv")
     total = F.col("out_degree") + F.col("in_degree")
     agg = met.groupBy("pair_id").agg(
@@ -111,10 +121,12 @@ def model_b_features(pairs: DataFrame, edges: DataFrame, scores: DataFrame | Non
 
 
 def undirected_overlaps(pairs: DataFrame, sym: DataFrame) -> DataFrame:
-    """Pairs with cn, aa (degree over 1), ra, degrees of both ends (0: unknown), and adjacent (0/1)."""
+    """Pairs with cn, aa (degree over 1), ra, degrees of both ends (0: unknown), and adjacent (0/1); the
+    neighbours of the end with fewer are looked up among the other's."""
     deg = degrees(sym)
     nb = sym.join(deg, sym["dst"] == deg["id"]).select(F.col("src").alias("x"), F.col("dst").alias("w"), "degree")
-    met = pairs.select("pair_id", "u", "v").join(nb.withColumnRenamed("x", "u"), "u").join(sym.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"])
+    few = fewer(lookup(pairs.select("pair_id", "u", "v"), deg, "id"), "degree")
+    met = few.join(nb, "x").join(sym.select(F.col("src").alias("y"), F.col("dst").alias("w")), ["y", "w"])
     agg = met.groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("cn"), F.sum(F.when(F.col("degree") > 1, 1 / F.ln(F.col("degree").cast("double")))).alias("aa"), F.sum(F.lit(1.0) / F.col("degree")).alias("ra")
     )
