@@ -305,3 +305,12 @@ def test_training_on_all_rows_ranks_and_averages(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, -1.0])], "id long, x array<double>")
     f = {r.pair_id: r for r in linalg.svd_pair_features(spark.createDataFrame([(7, 1, 2), (8, 1, 99)], "pair_id long, u long, v long"), vectors, vectors, 2).collect()}
     assert f[7].dot == -1.5 and f[7].had_0 == 0.5 and f[7].had_1 == -2.0 and f[8].dot == 0.0
+
+
+def test_consensus_share_broadcasts_no_labels(spark):
+    rows = [(r, i, i % (r + 2)) for r in range(4) for i in range(30)] + [(0, 40, None), (1, 40, 1)]
+    parts = spark.createDataFrame(rows, "run int, id long, community long")
+    got = pairs.consensus_share(pair_frame(spark, [(0, 2), (0, 1), (3, 3), (7, 99), (40, 1), (4, 16)]), parts)
+    assert by(got, "pair_id", "consensus") == {0: 0.25, 1: 0.0, 2: 1.0, 3: 0.0, 4: 0.25, 5: 0.75}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
