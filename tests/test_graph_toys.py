@@ -1,5 +1,6 @@
 """Formulas on graphs small enough to check by hand."""
 
+import hashlib
 import math
 from types import SimpleNamespace
 
@@ -314,3 +315,25 @@ def test_consensus_share_broadcasts_no_labels(spark):
     assert by(got, "pair_id", "consensus") == {0: 0.25, 1: 0.0, 2: 1.0, 3: 0.0, 4: 0.25, 5: 0.75}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+@pytest.mark.parametrize("n", [1, 40, 100_000])
+def test_hard_negatives_are_the_first_of_all_two_step_pairs(spark, n):
+    ends = [(i, (i * k + k) % 60) for i in range(60) for k in (1, 7, 11)] + [(i, 0) for i in range(1, 60)] + [(0, i) for i in range(1, 30)]
+    own = {(a, b) for a, b in ends if a != b}
+    two = {(a, d) for a, b in own for c, d in own if b == c and a != d} - own
+    drawn = lambda u, v: int(hashlib.md5(f"42_{u}_{v}".encode()).hexdigest()[:8], 16)
+    expected = sorted((drawn(u, v), u, v) for u, v in two)[:n]
+    rows = sampling.hard_negatives(directed(spark, sorted(own)), min(n, len(two)))
+    assert sorted((r.k, r.u, r.v) for r in rows.collect()) == expected
+
+
+def test_hard_negatives_leave_out_most_pairs_before_they_meet(spark):
+    e = cut(directed(spark, [(i, (i + d) % 500) for i in range(500) for d in range(1, 9)]))
+    seen, stored = [], sampling.stored
+    sampling.stored = lambda df: (seen.append(df), stored(df))[1]
+    try:
+        assert sampling.hard_negatives(e, 100).count() == 100
+    finally:
+        sampling.stored = stored
+    assert len(seen) <= 3 and sum(f.count() for f in seen) < 1000
