@@ -337,3 +337,25 @@ def test_hard_negatives_leave_out_most_pairs_before_they_meet(spark):
     finally:
         sampling.stored = stored
     assert len(seen) <= 3 and sum(f.count() for f in seen) < 1000
+
+
+@pytest.mark.parametrize("refine", [False, True])
+def test_detection_in_tasks_and_by_joins_find_the_same_cliques(spark, monkeypatch, refine):
+    cliques = [(6 * c + i, 6 * c + j) for c in range(12) for i in range(6) for j in range(i)]
+    ring = [(6 * c, (6 * c + 7) % 36 + 36 * (c // 6)) for c in range(12)]  # two components of six cliques
+    edges = und(spark, sorted({(min(e), max(e)) for e in [*cliques, *ring] if e[0] != e[1]}))
+    joins, joined = [], community.joined_louvain
+    monkeypatch.setattr(community, "joined_louvain", lambda *a: (joins.append(1), joined(*a))[1])
+    for most, by_joins in ((1 << 22, 0), (110, 0), (90, 1)):
+        monkeypatch.setattr(community, "IN_TASK", most)
+        joins.clear()
+        labels = cut(community.louvain(edges, refine=refine))
+        got = by(labels, "id", "community")
+        assert len(got) == 72 and len(joins) == by_joins and all(got[c] <= i for i, c in got.items())
+        assert all(got[i] // 36 == i // 36 for i in got) and one(community.modularity(edges, labels))["modularity"] > 0.7
+
+
+def test_a_graph_of_cliques_without_links_ends_in_a_task():
+    a, b = np.array([1, 2, 1, 7]), np.array([2, 3, 3, 8])
+    ids, found = community.moved_in_task(a, b, np.ones(4), 8.0, 1, False)
+    assert ids.tolist() == [1, 2, 3, 7, 8] and found.tolist() == [1, 1, 1, 7, 7]
