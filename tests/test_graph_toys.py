@@ -359,3 +359,12 @@ def test_a_graph_of_cliques_without_links_ends_in_a_task():
     a, b = np.array([1, 2, 1, 7]), np.array([2, 3, 3, 8])
     ids, found = community.moved_in_task(a, b, np.ones(4), 8.0, 1, False)
     assert ids.tolist() == [1, 2, 3, 7, 8] and found.tolist() == [1, 1, 1, 7, 7]
+
+
+def test_stability_runs_detect_side_by_side(spark, monkeypatch):
+    import threading
+
+    meet, own = threading.Barrier(3, timeout=60), community.louvain  # breaks unless three detections run at once
+    monkeypatch.setattr(community, "louvain", lambda edges, *seed: (meet.wait(), own(edges, *seed))[1])
+    row = networks.louvain_stability(SimpleNamespace(spark=spark, e_und=und(spark, BRIDGE))).first()
+    assert 0.1 < row.lowest <= row.highest < 0.36 and row.std_q <= row.highest - row.lowest
