@@ -368,3 +368,17 @@ def test_stability_runs_detect_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(community, "louvain", lambda edges, *seed: (meet.wait(), own(edges, *seed))[1])
     row = networks.louvain_stability(SimpleNamespace(spark=spark, e_und=und(spark, BRIDGE))).first()
     assert 0.1 < row.lowest <= row.highest < 0.36 and row.std_q <= row.highest - row.lowest
+
+
+def test_walks_in_tasks_and_by_joins_agree_and_stay_in_a_component(spark, monkeypatch):
+    edges = [*PATH7, (1, 4), (2, 6), (10, 11), (11, 12), (12, 13)]
+    sym = cut(graph.symmetric(und(spark, edges)))
+    asked = pair_frame(spark, [(u, v) for u in (1, 2, 5, 10, 12, 50) for v in (3, 5, 11, 13, 99)])
+    plain = by(walks.pair_scores(asked, walks.ppr(sym, spark.range(60).select("id"))), "pair_id", "score")
+    walked, joined = [], walks.joined_pair_scores
+    monkeypatch.setattr(walks, "joined_pair_scores", lambda pairs, *a: (walked.extend(pairs.select("u", "v").collect()), joined(pairs, *a))[1])
+    for most, alone in ((1 << 18, 0), (10, 6), (0, 10)):
+        monkeypatch.setattr(walks, "IN_TASK", most)
+        walked.clear()
+        got = by(walks.blocked_pair_scores(asked, sym, block=3), "pair_id", "score")
+        assert got == pytest.approx(plain, abs=1e-12) and len(walked) == alone
