@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WordHasher, cut, documents, slices, window_hashes
+from .common import SPACE, WordHasher, cut, documents, fan_out, slices, window_hashes
 
 #: Buckets of the hashed byte n-grams, and the n-gram's length.
 BUCKETS = 1 << 15
 GRAM = 4
-#: Labelled rows used at most; one id in HELD tells the threshold, the others the trusted target.
-LABEL_ROWS = 20_000
+#: Pieces of the counts that tasks send.
+CHUNKS = 16
+#: One labelled id in HELD tells the threshold, the others the trusted target.
 HELD = 4
+#: Bits of the filter of trusted ids: so many an id, and at most.  More ids let more texts through to the join.
+ID_BITS, MOST_BITS = 16, 1 << 28
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 #: Share of trusted labelled rows that the threshold may reject at most.
@@ -61,31 +66,57 @@ def base_counts(text: str, hasher: WordHasher) -> tuple[int, int, int, int, int]
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeats
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all of (text, trusted), each task's summed first."""
+def gram_counts(texts: DataFrame) -> list[tuple[int, int]]:
+    """(bucket, n): n-gram counts of all texts (text); a task sends CHUNKS rows at most."""
+    own = BUCKETS // CHUNKS
 
     def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                for text, trusted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for text in part.column(0).to_pylist():
                     if text:
-                        c = np.bincount(grams(text), minlength=BUCKETS)
-                        raw += c
-                        if trusted:
-                            target += c
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+                        total += np.bincount(grams(text), minlength=BUCKETS)
+        some = np.flatnonzero(total.reshape(CHUNKS, own).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[c * own : (c + 1) * own].tobytes() for c in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(table):
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    each = texts.mapInArrow(count, kinds := "chunk int, counts binary").groupBy("chunk").applyInArrow(add, kinds)
+    return [(r.chunk * own + k, int(n)) for r in each.collect() for k, n in enumerate(np.frombuffer(r.counts, np.int64)) if n]
+
 
-    return docs.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of the rows of (doc_id, text) whose id is in ``ids`` (__id, distinct).
 
+    A bitmap of hashed ids keeps most other texts out of the join's shuffle; the join decides.
+    """
+    n = ids.count()
+    bits = min(MOST_BITS, 1 << max(15, math.ceil(math.log2(max(1, n * ID_BITS)))))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    words = ids.select(place("__id").alias("p")).groupBy(F.shiftright("p", 15).alias("w")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("b"))
+    bitmap = np.zeros(bits >> 3, np.uint8)
+    for w, b in words.collect():
+        bitmap[w << 12 : w + 1 << 12] = np.frombuffer(b, np.uint8)
+
+    def pick(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-def log_ratio(counts: list[tuple[int, int, int]]) -> np.ndarray:
+    near = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place("doc_id").alias("place")).mapInArrow(pick, "doc_id long, text string")
+    return near.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("text")
+
+
+def log_ratio(raw_counts: list[tuple[int, int]], target_counts: list[tuple[int, int]]) -> np.ndarray:
     """ln P(bucket | trusted) - ln P(bucket | raw), both smoothed by one raw share of
     1 in BUCKETS; zeros where there is no trusted text."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, t in counts:
-        raw[b], target[b] = r, t
+    for into, counts in ((raw, raw_counts), (target, target_counts)):
+        for b, n in counts:
+            into[b] = n
     if not target.sum():
         return np.zeros(BUCKETS)
     smooth = lambda c: np.log((c + 1.0) / (c.sum() + BUCKETS))
@@ -126,31 +157,46 @@ def threshold(good: list[float], bad: list[float]) -> float:
     return float(cuts[k] - max(gap[k], 0.0) / 2)
 
 
+def labelled_threshold(known: DataFrame) -> float:
+    """``threshold`` of (llr, good, bad) with flags, found over ranges of the scores: a task holds no whole
+    column and the driver one row a range."""
+    counts = known.where("good or bad").groupBy("llr").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum(F.col("bad").cast("long")).alias("b"))
+    ranged = cut(counts.repartitionByRange(fan_out(known), "llr").withColumn("part", F.spark_partition_id()))
+    all_good, all_bad = ranged.agg(F.sum("g"), F.sum("b")).first()
+    if not all_good or not all_bad:
+        return float("-inf")
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("llr").alias("high"))
+    before = before.select("part", *[F.coalesce(F.sum(c).over(parts), F.lit(0)).alias(f"{c}0") for c in "gb"], F.max("high").over(parts).alias("high0"))
+    inside = Window.partitionBy("part").orderBy("llr")
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(f"{c}0")
+    gap = F.col("llr") - F.coalesce(F.lag("llr").over(inside), F.col("high0"), F.col("llr"))
+    cuts = ranged.join(F.broadcast(before), "part").select("llr", gap.alias("gap"), (below("g") / F.lit(float(all_good))).alias("lost"), (F.lit(1.0) - below("b") / F.lit(float(all_bad))).alias("left"))
+    cuts = cut(cuts.where(F.col("lost") <= TRUSTED_LOSS).withColumn("error", F.col("lost") + F.col("left")))
+    least = cuts.agg(F.min("error")).first()[0]
+    at, wide = cuts.where(F.col("error") <= least + SLACK).agg(F.max_by(F.struct("llr", "gap"), F.struct(F.col("gap"), -F.col("llr")))).first()[0]
+    return at - wide / 2
+
+
 def rate_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, llr and kept for each row of ``docs``.
 
     ``labels`` (doc_id, quality, toxic) names trusted rows (quality 1, not toxic) and
-    poor ones (quality 0); a sample of at most about LABEL_ROWS of its ids, by a hash, is
-    broadcast.  The threshold is fitted on ids that the trusted counts have not seen.  Raw counts are
-    over all documents.  Null texts have no words.  Rows with equal ids are rated each (the
-    threshold sees the worst of them); a null id is never labelled.
+    poor ones (quality 0); all of its ids count.  The threshold is fitted on ids that the trusted
+    counts have not seen.  Raw counts are over all documents.  Null texts have no words.  Rows with equal
+    ids are rated each (the threshold sees the worst of them); a null id is never labelled.
     """
     ids = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n = ids.count()
-    scale = 1 << 30
-    ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(scale)) < min(scale, int(scale * LABEL_ROWS / max(1, n))))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("label")), "doc_id").limit(2 * LABEL_ROWS)
-    ids = ids.select(F.col("doc_id").alias("__id"), (F.col("quality") == 1).alias("good"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held"))
-    ids = F.broadcast(cut(ids))
+    ids = cut(ids.select(F.col("doc_id").alias("__id"), (F.col("quality") == 1).alias("good"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("trusted"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0).alias("held")))
     docs = docs.select("doc_id", "text")
-    marked = docs.join(ids, F.col("doc_id") == F.col("__id"), "left")
-    ratio = log_ratio([tuple(r) for r in gram_counts(marked.select("text", F.coalesce(F.col("trusted") & ~F.col("held"), F.lit(False)).alias("trusted"))).collect()])
+    ratio = log_ratio(gram_counts(docs.select("text")), gram_counts(texts_of(docs, ids.where("trusted and not held").select("__id"))))
     rated = cut(scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratio))
     rated = rated.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     known = rated.where(~F.col("base_failed")).join(ids.where("held"), F.col("doc_id") == F.col("__id"))
-    known = known.groupBy("__id").agg(F.min("llr").alias("llr"), F.first("good").alias("good"), F.first("trusted").alias("trusted")).collect()
-    limit = threshold([r.llr for r in known if r.trusted], [r.llr for r in known if r.good is False])
-    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= limit))
+    known = known.groupBy("__id").agg(F.min("llr").alias("llr"), F.first("trusted").alias("trusted"), F.first("good").alias("good"))
+    limit = labelled_threshold(known.select("llr", F.coalesce("trusted", F.lit(False)).alias("good"), F.coalesce(~F.col("good"), F.lit(False)).alias("bad")))
+    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(limit)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

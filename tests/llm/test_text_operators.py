@@ -409,6 +409,34 @@ def brute_base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_counts_every_label(spark):
+    words = ["pq%d " % (k % 7) + "stuv wxyz" * (k % 5) for k in range(35)]
+    ids = spark.range(60_000)
+    frame = ids.select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 35 + 1).cast("int")).alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    used = ids.select((F.col("id") % 35).alias("k"), ((F.col("id") % 3 > 0) & (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(quality.HELD)) != 0)).cast("int").alias("t"))
+    counted = {r.k: (r.n, r.t) for r in used.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for k, (n, t) in counted.items():
+        hits = np.bincount(quality.grams(words[k]), minlength=quality.BUCKETS)
+        raw, target = raw + n * hits, target + t * hits
+    smooth = lambda c: np.log((c + 1.0) / (c.sum() + quality.BUCKETS))
+    ratio = smooth(target) - smooth(raw)
+    want = {k: ratio[quality.grams(words[k])].mean() for k in range(35)}
+    got = quality.rate_quality(frame, labels).groupBy((F.col("doc_id") % 35).alias("k")).agg(F.min("llr").alias("a"), F.max("llr").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in got) == 60_000 and all(abs(r.a - want[r.k]) < 1e-12 and r.a == r.b for r in got)
+
+
+def test_quality_threshold_over_ranges(spark):
+    draws = np.random.default_rng(5)
+    for n in (3, 400):
+        rows = [(float(round(x, 2)), bool(k % 3), not k % 3) for k, x in enumerate(draws.normal(0, 1, n))]
+        rows = [(x + g, g, b) for x, g, b in rows] + [(0.123, False, False)]
+        want = quality.threshold([x for x, g, _ in rows if g], [x for x, _, b in rows if b])
+        assert quality.labelled_threshold(spark.createDataFrame(rows, "llr double, good boolean, bad boolean")) == want
+    assert quality.labelled_threshold(spark.createDataFrame([(1.0, True, False)], "llr double, good boolean, bad boolean")) == float("-inf")
+
+
 def test_quality(spark):
     r = random.Random(7)
     good, _ = language_texts(2, 300)
