@@ -382,3 +382,61 @@ def test_walks_in_tasks_and_by_joins_agree_and_stay_in_a_component(spark, monkey
         walked.clear()
         got = by(walks.blocked_pair_scores(asked, sym, block=3), "pair_id", "score")
         assert got == pytest.approx(plain, abs=1e-12) and len(walked) == alone
+
+
+def test_trees_find_interactions_side_by_side(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from orrery.operators import trees
+
+    draws, levels, collect = np.random.default_rng(3), [], DataFrame.collect
+    rows = [(k, float(a), float(b), float(c), int((a > 0.5) != (b > 0.5))) for k, (a, b, c) in enumerate(draws.random((3000, 3)))]
+    frame = ml.stratified_folds(spark.createDataFrame(rows, "pair_id long, a double, b double, c double, label int").withColumn("pair_id", F.col("pair_id") * 7), "label", "pair_id", 3)
+    monkeypatch.setattr(DataFrame, "collect", lambda df: levels.append(1) or collect(df))
+    monkeypatch.setattr(trees, "KEEP", 4)
+    test = frame.select("pair_id", "a", "b", "c")
+    for factory in (ml.gbt(9, 4, 0.3, 0.9, "all", 5), ml.forest(20, 5, 8)):
+        levels.clear()
+        oof, p = ml.out_of_fold(frame, test, ["a", "b", "c"], factory, "pair_id", 3)
+        assert len(levels) <= 9 * 4 + 1  # three models' trees grow in the same jobs
+        found = {r.pair_id: r for r in oof.toLocalIterator()}
+        assert len(found) == 3000 and all(found[7 * k].label == y for k, _, _, _, y in rows)
+        assert {r.pair_id: r.fold for r in frame.toLocalIterator()} == {k: r.fold for k, r in found.items()}
+        assert np.mean([(r.oof > 0.5) == r.label for r in found.values()]) > 0.93
+        assert np.mean([(r.p > 0.5) == found[r.pair_id].label for r in p.toLocalIterator()]) > 0.93
+
+
+def test_boosted_trees_are_those_of_the_plain_rule(spark):
+    rows = [(k, float(k % 10), int(k % 10 > 6)) for k in range(200)]
+    p = ml.seed_ensemble(spark.createDataFrame(rows, "pair_id long, x double, label int"), spark.createDataFrame([(1, 2.0), (2, 9.0), (3, None)], "pair_id long, x double"), ["x"], ml.gbt(2, 1, 0.3, 1.0, "all", 1), "pair_id", 2)
+    step = 4 / (1 + math.exp(2))  # the residual after a first tree that is right everywhere
+    high = 1 / (1 + math.exp(-2 * (1 + 0.3 * step)))
+    assert {r.pair_id: round(r.p, 12) for r in p.collect()} == {1: round(1 - high, 12), 2: round(high, 12), 3: round(high, 12)}
+
+
+def test_one_task_and_joins_rank_and_factor_alike(spark, monkeypatch):
+    draws = np.random.default_rng(11)
+    rows = sorted({(int(a), int(b)) for a, b in draws.integers(0, 60, (400, 2)) ** 2 if a != b} | {(9000, 9001)})
+    e = directed(spark, rows)
+    seen = []
+    for bound in (graph.IN_TASK, -1):
+        monkeypatch.setattr(graph, "IN_TASK", bound)
+        ranks = {r.id: r.pagerank for r in walks.pagerank(e).collect()}
+        scores = {r.id: (r.hub, r.authority) for r in walks.hits(e).collect()}
+        s, left, right = linalg.svd(e, k=4)
+        x, y = ({r.id: np.array(r.x) for r in v.collect()} for v in (left, right))
+        parts = {r.id: r.component for r in cohesion.components(graph.canonical(e)).collect()}
+        seen.append((ranks, scores, s, x, y, parts))
+    a, b = seen
+    assert a[5] == b[5] and a[0].keys() == b[0].keys() and all(abs(a[0][i] - b[0][i]) < 1e-12 for i in a[0])
+    assert a[1].keys() == b[1].keys() and all(np.abs(np.subtract(a[1][i], b[1][i])).max() < 1e-12 for i in a[1])
+    assert np.allclose(a[2], b[2]) and a[3].keys() == b[3].keys() and a[4].keys() == b[4].keys()
+    assert all(abs(a[3][u] @ a[4][v] - b[3][u] @ b[4][v]) < 1e-8 for u, v in rows[:50])
+
+
+def test_small_graphs_are_ranked_in_few_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranked", "")
+    walks.pagerank(directed(spark, [(i, (i * 7 + 3) % 50) for i in range(50)])).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("ranked")) < 12
