@@ -440,3 +440,29 @@ def test_small_graphs_are_ranked_in_few_jobs(spark):
     walks.pagerank(directed(spark, [(i, (i * 7 + 3) % 50) for i in range(50)])).collect()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tracker.getJobIdsForGroup("ranked")) < 12
+
+
+def test_overlaps_in_cells_agree_with_sets(spark, monkeypatch):
+    draws = np.random.default_rng(2)
+    rows = sorted({(int(a) + 100 * c, int(b) + 100 * c) for c in range(3) for a, b in draws.integers(0, 40, (300, 2)) if a != b})
+    asked = [(int(a), int(b)) for a, b in draws.integers(0, 260, (300, 2))] + rows[:100] + [(5, 5), (999, 1)]
+    out, in_ = ({x: {p[1 - k] for p in rows if p[k] == x} for x in range(1000)} for k in (0, 1))
+    near = {x: out[x] | in_[x] for x in out}
+    frame = pair_frame(spark, asked).withColumn("name", F.lit("kept"))
+    for bound in (1 << 20, 150):  # 150: components of several blocks
+        monkeypatch.setattr(pairs, "CELL", bound)
+        got = {r.pair_id: r for r in pairs.directed_overlaps(frame, directed(spark, rows)).collect()}
+        assert len(got) == len(asked)
+        for k, (u, v) in enumerate(asked):
+            r = got[k]
+            assert (r.oo, r.oi, r.io, r.ii, r.und) == (len(out[u] & out[v]), len(out[u] & in_[v]), len(in_[u] & out[v]), len(in_[u] & in_[v]), len(near[u] & near[v]))
+            assert (r.forward, r.backward, r.name) == ((u, v) in rows, (v, u) in rows, "kept")
+            assert (r.out_degree_u, r.in_degree_v, r.und_degree_v) == (len(out[u]), len(in_[v]), len(near[v]))
+            assert abs(r.aa_und - sum(1 / math.log(len(near[w]) + 1e-9) for w in near[u] & near[v] if len(near[w]) > 1)) < 1e-9
+            assert abs(r.aa_dir - sum(1 / math.log(len(out[w]) + len(in_[w])) for w in out[u] & in_[v])) < 1e-9
+            assert abs(r.ra_dir - sum(1 / len(out[w]) for w in out[u] & in_[v])) < 1e-9
+
+
+def test_overlaps_send_no_neighbour_lists_by_pair(spark):
+    plan = pairs.directed_overlaps(pair_frame(spark, [(1, 2)]), directed(spark, [(1, 3), (3, 2)]))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
