@@ -466,3 +466,54 @@ def test_overlaps_in_cells_agree_with_sets(spark, monkeypatch):
 def test_overlaps_send_no_neighbour_lists_by_pair(spark):
     plan = pairs.directed_overlaps(pair_frame(spark, [(1, 2)]), directed(spark, [(1, 3), (3, 2)]))._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_lowest_numbers_without_a_sort(spark, monkeypatch):
+    numbers = sorted({(k * 37) % 1009 + 1 for k in range(0, 900, 2)})
+    df = spark.createDataFrame([(k,) for k in numbers], "k long")
+    monkeypatch.setattr(sampling, "RANGES", 7)
+    for n in (0, 1, 5, 200, len(numbers), len(numbers) + 9):
+        assert sorted(r.k for r in sampling.lowest(df, "k", n, 1009).collect()) == numbers[:n]
+    e = directed(spark, [(a, b) for a in range(12) for b in range(12) if a != b and (a * b) % 5])
+    every = [r for r in sampling.candidates(e, 200, "42").collect() if r.u != r.v]
+    edges = {(r.src, r.dst) for r in e.collect()}
+    free = sorted(r.k for r in every if (r.u, r.v) not in edges)
+    got = sampling.random_negatives(e, 100).collect()  # a dense graph: the first draws are too few
+    assert sorted(r.k for r in got) == free[:100] and {(r.k, r.u, r.v) for r in got} <= {tuple(r) for r in every}
+    monkeypatch.setattr(graph, "HELD", -1)
+    assert {tuple(r) for r in sampling.candidates(e, 200, "42").collect() if r.u != r.v} == {tuple(r) for r in every}
+
+
+def test_training_rows_leave_only_their_bins(spark):
+    import os
+
+    from orrery.session import shared_folder, stored
+
+    folder = shared_folder(spark).removeprefix("file:")
+    there = lambda: {f for f in os.listdir(folder) if f.startswith("stored-")}
+    rows = spark.createDataFrame([(k, float(k % 10), float(k % 7), int(k % 10 > 6), k % 3) for k in range(300)], "pair_id long, x double, y double, label int, fold int")
+    before = there()
+    oof = ml.out_of_fold(lambda: stored(stored(rows)), None, None, ml.gbt(2, 3, 0.3, 1.0, "all", 1), "pair_id", 3)[0]
+    assert len(there() - before) == 1 and oof.count() == 300
+
+
+def test_smaller_children_and_pairs_of_bins_give_the_nodes_means(spark):
+    draws = np.random.default_rng(4)
+    rows = [(k, *map(float, x), int(x[0] * x[1] > x[2] / 2)) for k, x in enumerate(draws.random((2000, 3)))]
+    frame = spark.createDataFrame(rows, "pair_id long, a double, b double, c double, label int")
+    p = {r.pair_id: r.p for r in ml.seed_ensemble(frame, frame, ["a", "b", "c"], ml.gbt(1, 4, 0.3, 1.0, "all", 5), "pair_id", 1).collect()}
+    leaves = {}
+    for k, *_, label in rows:
+        leaves.setdefault(round(p[k], 12), []).append(2 * label - 1)
+    assert len(leaves) > 8 and all(abs(1 / (1 + math.exp(-2 * np.mean(y))) - q) < 1e-9 for q, y in leaves.items())
+
+
+def test_held_and_joined_vectors_agree(spark, monkeypatch):
+    left = spark.createDataFrame([(k, [k + 0.5, -k / 3.0]) for k in range(5)], "id long, x array<double>")
+    right = spark.createDataFrame([(k, [1.0 / (k + 1), k * 2.0]) for k in range(3, 9)], "id long, x array<double>")
+    asked = pair_frame(spark, [(0, 3), (4, 8), (1, 1), (99, 4)])
+    seen = []
+    for bound in (graph.SMALL, -1):
+        monkeypatch.setattr(graph, "SMALL", bound)
+        seen.append({r.pair_id: r for r in linalg.svd_pair_features(asked, left, right, 2).collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 4
