@@ -517,3 +517,15 @@ def test_held_and_joined_vectors_agree(spark, monkeypatch):
         monkeypatch.setattr(graph, "SMALL", bound)
         seen.append({r.pair_id: r for r in linalg.svd_pair_features(asked, left, right, 2).collect()})
     assert seen[0] == seen[1] and len(seen[0]) == 4
+
+
+def test_cross_partition_negatives_are_not_sorted(spark):
+    rows = [(a, a + 1) for a in range(60)]
+    sym = graph.symmetric(spark.createDataFrame(rows, "a long, b long"))
+    own = spark.createDataFrame([(i, 0) for i in range(61)], "id long, component long")
+    brand = spark.createDataFrame([(i, i % 3) for i in range(61)], "id long, community long")
+    got = sampling.cross_partition_negatives(sym, own, brand, 30)
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+    every = sampling.cross_partition_negatives(sym, own, brand, 120, attempts=1).collect()  # the same draws, all kept
+    assert sorted(r.k for r in got.collect()) == sorted(r.k for r in every)[:30]
+    assert all(r.u % 3 != r.v % 3 and abs(r.u - r.v) > 1 for r in every)
