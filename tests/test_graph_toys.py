@@ -529,3 +529,22 @@ def test_cross_partition_negatives_are_not_sorted(spark):
     every = sampling.cross_partition_negatives(sym, own, brand, 120, attempts=1).collect()  # the same draws, all kept
     assert sorted(r.k for r in got.collect()) == sorted(r.k for r in every)[:30]
     assert all(r.u % 3 != r.v % 3 and abs(r.u - r.v) > 1 for r in every)
+
+
+def test_training_pairs_are_whole_and_leave_one_table(spark):
+    import os
+
+    from orrery.plans import models
+    from orrery.session import shared_folder
+
+    draws = np.random.default_rng(8)
+    rows = sorted({(int(a), int(b)) for a, b in draws.integers(0, 50, (150, 2)) if a != b})
+    folder = shared_folder(spark).removeprefix("file:")
+    there = lambda: {f for f in os.listdir(folder) if f.startswith("stored-")}
+    before = there()
+    got = models.link_overlaps(directed(spark, rows)).collect()
+    assert len(there() - before) == 1
+    assert sorted((r.u, r.v) for r in got if r.label) == rows and len(got) == 2 * len(rows) == len({r.pair_id for r in got})
+    assert not {(r.u, r.v) for r in got if not r.label} & set(rows)
+    sizes = [sum(r.label == y and r.fold == f for r in got) for y in (0, 1) for f in range(3)]
+    assert max(sizes) - min(sizes) <= 1
