@@ -548,3 +548,24 @@ def test_training_pairs_are_whole_and_leave_one_table(spark):
     assert not {(r.u, r.v) for r in got if not r.label} & set(rows)
     sizes = [sum(r.label == y and r.fold == f for r in got) for y in (0, 1) for f in range(3)]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_binned_rows_are_compressed_and_replace_what_they_came_from(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from orrery.operators import ml, trees
+    from orrery.session import FOLDERS, settled, taken_over
+
+    rows = spark.range(4000).selectExpr("id", "cast(id % 2 as int) as label", "cast(id % 3 as int) as fold", "cast(id % 5 as double) as x", "0.5 as y")
+    with ThreadPoolExecutor(1) as pool:
+        made = pool.submit(lambda: settled(lambda: rows)).result()
+    folder = FOLDERS[made].removeprefix("file:")
+    assert os.path.isdir(folder)
+    blocks, limits, names = ml.prepared(lambda: taken_over(made), ["x", "y"], "id", 3, keyed=False)
+    assert not os.path.exists(folder)
+    found = blocks.collect()
+    assert not any(r.keys for r in found) and sum(len(r.labels) for r in found) == 4000
+    assert sum(len(r.bins) for r in found) < 4000  # a byte a row would be 8,000
+    seen = [b for batch in blocks.toArrow().to_batches() for _, _, _, _, bins, _ in trees.opened(batch, 2) for b in bins[0]]
+    assert np.bincount(seen).tolist() == [800] * 5
