@@ -569,3 +569,25 @@ def test_binned_rows_are_compressed_and_replace_what_they_came_from(spark):
     assert sum(len(r.bins) for r in found) < 4000  # a byte a row would be 8,000
     seen = [b for batch in blocks.toArrow().to_batches() for _, _, _, _, bins, _ in trees.opened(batch, 2) for b in bins[0]]
     assert np.bincount(seen).tolist() == [800] * 5
+
+
+def test_rank_ensemble_keeps_rows_in_place_and_agrees_with_joins(spark, monkeypatch):
+    from orrery.functions.stats import auc
+    from orrery.operators import graph, ml
+
+    draws = np.random.default_rng(3)
+    rows = [(i, int(draws.integers(2)), float(draws.integers(9)) / 8 - 0.0, float(draws.random()) if i % 50 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, s0 double, s1 double").repartition(4).cache()
+    parts = [df.selectExpr("id", "label", f"{s} as oof") for s in ("s0", "s1")]
+    held = {r.id: r.blend for r in ml.rank_ensemble(parts, "id").collect()}
+    plan = ml.blended(df, ["s0", "s1"], "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan.split("InMemoryRelation")[0]
+    monkeypatch.setattr(graph, "HELD", 5)
+    joined = {r.id: r.blend for r in ml.rank_ensemble(parts, "id").collect()}
+    assert held == joined and len(held) == 300 and sum(x is None for x in held.values()) == 6
+    w = [auc(p, "oof", "label").first()["auc"] for p in parts]
+    known = [sorted(r[2 + k] for r in rows if r[2 + k] is not None) for k in (0, 1)]
+    rank = lambda k, x: known[k].index(x) + (known[k].count(x) + 1) / 2
+    for i, _, a, b in rows:
+        if b is not None:
+            assert abs(held[i] - (rank(0, a) * w[0] + rank(1, b) * w[1]) / sum(w)) < 1e-9
