@@ -591,3 +591,14 @@ def test_rank_ensemble_keeps_rows_in_place_and_agrees_with_joins(spark, monkeypa
     for i, _, a, b in rows:
         if b is not None:
             assert abs(held[i] - (rank(0, a) * w[0] + rank(1, b) * w[1]) / sum(w)) < 1e-9
+
+
+def test_components_by_joins_free_each_step(spark, monkeypatch):
+    from orrery.operators import cohesion, graph
+
+    monkeypatch.setattr(graph, "IN_TASK", 0)
+    freed = []
+    monkeypatch.setattr(cohesion, "let_go", freed.append)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long")
+    got = {r.id: r.component for r in cohesion.components(edges).collect()}
+    assert got == {i: 0 if i < 10 else 10 for i in range(21)} and len(freed) >= 3
