@@ -602,3 +602,21 @@ def test_components_by_joins_free_each_step(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long")
     got = {r.id: r.component for r in cohesion.components(edges).collect()}
     assert got == {i: 0 if i < 10 else 10 for i in range(21)} and len(freed) >= 3
+
+
+def test_components_of_more_edges_than_a_task_takes_need_no_joins(spark, monkeypatch):
+    from orrery.operators import cohesion, graph
+
+    def joined(_):
+        raise AssertionError("the links of 60 nodes fit a task")
+
+    monkeypatch.setattr(cohesion, "small_stars", joined)
+    monkeypatch.setattr(graph, "IN_TASK", 70)
+    monkeypatch.setattr(cohesion, "CHUNK", 50)
+    draws = np.random.default_rng(4)
+    rows = [*((20 * c, 20 * c + 1 + i) for c in range(3) for i in range(19)), *((20 * int(c) + int(x), 20 * int(c) + int(y)) for c, x, y in draws.integers(0, [3, 20, 20], (600, 3))), (99, 99)]
+    for kind in ("long", "int"):
+        edges = spark.createDataFrame(rows, f"a {kind}, b {kind}").repartition(5)
+        found = cohesion.components(edges)
+        assert by(found, "id", "component") == {i: i if i == 99 else i // 20 * 20 for i in [*range(60), 99]}
+        assert [f.dataType.simpleString() for f in found.schema] == [edges.schema["a"].dataType.simpleString()] * 2
