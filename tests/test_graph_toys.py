@@ -620,3 +620,14 @@ def test_components_of_more_edges_than_a_task_takes_need_no_joins(spark, monkeyp
         found = cohesion.components(edges)
         assert by(found, "id", "component") == {i: i if i == 99 else i // 20 * 20 for i in [*range(60), 99]}
         assert [f.dataType.simpleString() for f in found.schema] == [edges.schema["a"].dataType.simpleString()] * 2
+
+
+def test_stability_places_edges_once_and_scores_without_joins(spark, monkeypatch):
+    placed, own = [], community.placed_edges
+    monkeypatch.setattr(community, "placed_edges", lambda *a: (placed.append(1), own(*a))[1])
+    edges = und(spark, [*BRIDGE, (7, 8)])
+    row = networks.louvain_stability(SimpleNamespace(spark=spark, e_und=edges)).first()
+    assert len(placed) == 1 and 0.1 < row.lowest <= row.highest
+    labels = spark.createDataFrame([(i, i // 4) for i in range(1, 8)], "id long, community long")  # 8 is unknown
+    scored = community.modularity(edges, labels, graph.held(labels))
+    assert one(scored) == one(community.modularity(edges, labels)) and "Join Inner, (id" not in scored._jdf.queryExecution().optimizedPlan().toString()
