@@ -631,3 +631,25 @@ def test_stability_places_edges_once_and_scores_without_joins(spark, monkeypatch
     labels = spark.createDataFrame([(i, i // 4) for i in range(1, 8)], "id long, community long")  # 8 is unknown
     scored = community.modularity(edges, labels, graph.held(labels))
     assert one(scored) == one(community.modularity(edges, labels)) and "Join Inner, (id" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_component_is_detected_in_blocks_without_joins(spark, monkeypatch):
+    monkeypatch.setattr(community, "IN_TASK", 60)
+    monkeypatch.setattr(community, "BLOCK", 50)
+    monkeypatch.setattr(community, "local_moving", None)
+    cliques = [(7 + 6 * c + j, 7 + 6 * c + i) for c in range(12) for i in range(6) for j in range(i)]
+    ring = [tuple(sorted((7 + 6 * c, 7 + (6 * c + 7) % 72))) for c in range(12)]
+    edges = und(spark, [*cliques, *ring, (1, 2), (2, 3)])
+    got = by(labels := cut(community.louvain(edges)), "id", "community")
+    assert sorted(got) == [1, 2, 3, *range(7, 79)] and got[1] == 1 and max(got[2], got[3]) <= 3
+    assert all(got[i] == min(k for k, c in got.items() if c == got[i]) for i in got) and one(community.modularity(edges, labels))["modularity"] > 0.7
+
+
+def test_stubs_of_all_blocks_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(community, "BLOCK", 16)
+    rows = [(i, j) for i in range(40) for j in range(i + 1, 40) if (i * j) % 7 == 1]
+    null = [tuple(r) for r in community.configuration_null(und(spark, rows), 2).collect()]
+    ends = lambda edges: np.bincount(np.array(edges).ravel(), minlength=40)
+    assert (ends(null) <= ends(rows)).all() and 0.6 * len(rows) < len(set(null)) == len(null) and all(a < b for a, b in null)
+    stored_ = community.configuration_null(und(spark, [(1, 2), (3, 4), (5, 6), (7, 8)]), 3).collect()
+    assert len(stored_) >= 2 and [tuple(r) for r in stored_] != [(1, 2), (3, 4), (5, 6), (7, 8)]
