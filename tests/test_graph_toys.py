@@ -653,3 +653,17 @@ def test_stubs_of_all_blocks_are_joined(spark, monkeypatch):
     assert (ends(null) <= ends(rows)).all() and 0.6 * len(rows) < len(set(null)) == len(null) and all(a < b for a, b in null)
     stored_ = community.configuration_null(und(spark, [(1, 2), (3, 4), (5, 6), (7, 8)]), 3).collect()
     assert len(stored_) >= 2 and [tuple(r) for r in stored_] != [(1, 2), (3, 4), (5, 6), (7, 8)]
+
+
+def test_scores_and_vectors_read_stored_edges_where_they_lie(spark, monkeypatch):
+    from orrery import session
+
+    edges, copied = session.stored(directed(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])), []
+    own = session.stored
+    monkeypatch.setattr(session, "stored", lambda df: (copied.append(df.columns), own(df))[1])
+    for module in (walks, linalg):
+        monkeypatch.setattr(module, "cut", lambda df: (copied.append(df.columns), cut(df))[1])
+    walks.pagerank(edges), walks.hits(edges), linalg.svd(edges, 2)
+    assert ["src", "dst"] not in copied
+    walks.hits(edges.where("src < 9"))
+    assert copied.count(["src", "dst"]) == 1
